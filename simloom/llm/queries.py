@@ -9,14 +9,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simloom.llm import line_dedup, secret_scan, url_filter
+from simloom.llm import bpe, line_dedup, media, secret_scan, token_ids, url_filter
 from simloom.llm.shared import documents
 
 
+def tokenizer_file(name: str) -> str:
+    """Where an installed public vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_round_trip(documents(spark, sf_dir))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(documents(spark, sf_dir))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.token_report(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_report(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(documents(spark, sf_dir))
 
@@ -26,7 +45,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_columns": op1_media_columns,
     "op3_line_dedup": op3_line_dedup,
+    "op4_token_ids": op4_token_ids,
+    "op6_bpe": op6_bpe,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
