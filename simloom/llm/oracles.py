@@ -48,6 +48,33 @@ def _spans_sql(order: int, rule) -> str:
   WHERE n >= {rule.min_chars}"""
 
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words joined by blanks: a window occurs where its words do, between blanks.
+DECONTAMINATION = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORD}') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORD}') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)),
+hits AS (SELECT g.doc_id, g.i, g.n, x.item_id FROM grams g JOIN windows x USING (n, win)),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 _KINDS = ", ".join(f"'{k}'" for k in BASE_KINDS)
 _COUNTS = ", ".join(f"(count(*) FILTER (kind = '{k}'))::BIGINT AS n_{k}" for k in BASE_KINDS)
 SECRET_SCAN = f"""
@@ -83,6 +110,7 @@ FROM ruled
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": LINE_DEDUP,
+    "op8_decontamination": DECONTAMINATION,
     "op9_secret_scan": SECRET_SCAN,
     "op10_url_filter": URL_FILTER,
 }

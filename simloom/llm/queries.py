@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simloom.llm import bpe, line_dedup, media, secret_scan, token_ids, url_filter
+from simloom.llm import bpe, decontaminate, line_dedup, media, secret_scan, token_ids, url_filter
 from simloom.llm.shared import documents
 
 
@@ -36,6 +36,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontamination_report(documents(spark, sf_dir), benchmark)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(documents(spark, sf_dir))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_token_ids": op4_token_ids,
     "op6_bpe": op6_bpe,
+    "op8_decontamination": op8_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
