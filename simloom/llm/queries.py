@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simloom.llm import bpe, decontaminate, language_id, line_dedup, media, ngram_join, secret_scan, token_ids, url_filter
+from simloom.llm import bpe, decontaminate, language_id, line_dedup, media, ngram_join, quality, secret_scan, token_ids, url_filter
 from simloom.llm.shared import documents
 
 
@@ -24,6 +24,11 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_round_trip(documents(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(documents(spark, sf_dir))
 
@@ -60,6 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_ids": op4_token_ids,
     "op5_ngram_jaccard": op5_ngram_jaccard,
