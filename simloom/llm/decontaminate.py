@@ -245,6 +245,29 @@ def scanner(docs: DataFrame, items: DataFrame, item_col: str, item_text_col: str
     return scan, HIT_SCHEMA
 
 
+def keep_clean(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    span: int = SPAN,
+    k: int = K,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The documents without a hit, as they were, each where it is read."""
+    scan, _ = scanner(docs, items, item_col, item_text_col, span, k, block_words)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, at):
+            pair = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), part.column(at)], names=["doc_id", "text"])
+            hits = pa.Table.from_batches(scan([pair])).column("n_hit")
+            yield part.filter(pa.array([h == 0 for h in hits.to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def decontamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     hits = find_hits(docs, items, **options)
     return hits.select(

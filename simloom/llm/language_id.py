@@ -37,8 +37,8 @@ EMBEDDING = 8
 UNKNOWN = "und"
 #: Most languages that are learned, the commonest first.
 MAX_LANGUAGES = 200
-PER_LANGUAGE, WINDOWS_PER_TEXT = 600, 6
-EPOCHS, BATCH, RATE, MOMENTUM, SEED = 6, 64, 0.05, 0.9, 17
+PER_LANGUAGE, WINDOWS_PER_TEXT = 400, 5
+EPOCHS, BATCH, RATE, MOMENTUM, SEED = 5, 64, 0.05, 0.9, 17
 #: Windows that one numpy step predicts.
 STEP = 256
 

@@ -33,8 +33,9 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simloom.llm.components import components
@@ -261,30 +262,42 @@ def _match(table: pa.Table) -> pa.Table:
 # --- verification ---------------------------------------------------------------------
 
 
-def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(cls, shingles) of the classes that ``members`` (cls, doc_id) names.
+def _id_slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
 
-    A bit field of fixed size, made from their ids, spares most other documents
-    the work; it may let some through, never keep one out.
-    """
-    slots = 1 << FILTER_BITS
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+
+def id_field(ids: DataFrame) -> np.ndarray:
+    """A bit field of fixed size (1 MB) with a bit for each ``doc_id`` that is not null."""
     rows = (
-        members.where("doc_id IS NOT NULL")
-        .select(slot.alias("s"))
+        ids.where("doc_id IS NOT NULL")
+        .select(_id_slot().alias("s"))
         .groupBy(F.expr("s div 32768").alias("part"))
         .agg(F.bitmap_construct_agg(F.expr("s % 32768")).alias("bits"))
         .collect()  # at most 256 rows of 4 KB
     )
-    bits = np.zeros(slots // 8, np.uint8)
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for r in rows:
         bits[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
-    field = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def _in_field(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(cls, shingles) of the classes that ``members`` (cls, doc_id) names.
+
+    A bit field made from their ids spares most other documents the work; it may
+    let some through, never keep one out.
+    """
+    slot = _id_slot()
+    field = docs.sparkSession.sparkContext.broadcast(id_field(members))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = np.array(batch.column(1).fill_null(-1))
-            wanted = (s < 0) | ((field.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1).astype(bool)
+            wanted = (s < 0) | _in_field(field.value, np.maximum(s, 0))
             for part in slices([batch.filter(pa.array(wanted))], 0):
                 found = {class_number(digest(x)): x.tobytes() for x in shingle_sets(part.column(0)) if len(x)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), binary_column(list(found.values()))], names=["cls", "shingles"])
@@ -414,3 +427,26 @@ def join_report(docs: DataFrame, **columns: str) -> DataFrame:
     )
 
 
+
+
+def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that bear the least id of their component, as they were.
+
+    Rows without an id stay. Only rows whose id hits a bit field of the ids to be
+    dropped are shuffled; the others cannot be among them.
+    """
+    report = written(join_report(docs, id_col=id_col, text_col=text_col), "components").where("doc_id IS NOT NULL")
+    kept = report.where("doc_id = component_id").select("doc_id")
+    gone = report.where("doc_id <> component_id").select("doc_id").join(kept, "doc_id", "left_anti").distinct()
+    field = docs.sparkSession.sparkContext.broadcast(id_field(gone))
+
+    @F.pandas_udf("boolean")
+    def maybe_gone(slot: pd.Series) -> pd.Series:
+        return pd.Series(_in_field(field.value, slot.to_numpy(np.int64)))
+
+    key = F.col(id_col).cast("long")
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    marked = docs.withColumn("__maybe", maybe_gone(slot))
+    sure = marked.where("NOT __maybe").drop("__maybe")
+    rest = marked.where("__maybe").drop("__maybe").join(gone.withColumnRenamed("doc_id", "__gone"), key == F.col("__gone"), "left_anti")
+    return sure.unionByName(rest)

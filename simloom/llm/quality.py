@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from simloom.llm.shared import slices, text_buffer
 from simloom.llm.words import NOT_BLANK, hash_spans, word_spans
@@ -254,7 +255,7 @@ def fold(id_col: str) -> Column:
 def with_features(docs: DataFrame, *kept: str) -> DataFrame:
     """The ``kept`` columns and ``features``, an array of doubles, from ``text``."""
     rows = docs.select("text", *kept)
-    schema = rows.drop("text").schema.add("features", "array<double>")
+    schema = rows.drop("text").schema.add("features", T.ArrayType(T.DoubleType()))
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
