@@ -83,15 +83,15 @@ _SIGNATURE = """(CASE WHEN lower({x}[1:1]) BETWEEN 'a' AND 'z' THEN ascii(lower(
 _LINES = ", ".join(f"({i}, '{line}')" for i, line in enumerate(SMALL_DICTIONARY.splitlines()))
 _EDGES = f"""raw AS (
   SELECT i, lower(trim(string_split(line, '|')[1])) AS w, string_split(string_split(line, '|')[2], ',') AS syns FROM (VALUES {_LINES}) t(i, line)),
-one AS (SELECT i, k - 1 AS at, w, lower(trim(syns[k])) AS s FROM (SELECT *, unnest(range(1, len(syns) + 1)) AS k FROM raw)),
-sides AS (SELECT i, at, 0 AS back, w AS word, s AS synonym FROM one UNION ALL SELECT i, at, 1, s, w FROM one),
-edges AS (SELECT word, (row_number() OVER (PARTITION BY word ORDER BY i, at, back, synonym) - 1)::INT AS ord, synonym, 1.0::FLOAT AS weight FROM sides)"""
+one AS (SELECT i, k - 1 AS pos, w, lower(trim(syns[k])) AS s FROM (SELECT *, unnest(range(1, len(syns) + 1)) AS k FROM raw)),
+sides AS (SELECT i, pos, 0 AS back, w AS word, s AS synonym FROM one UNION ALL SELECT i, pos, 1, s, w FROM one),
+edges AS (SELECT word, (row_number() OVER (PARTITION BY word ORDER BY i, pos, back, synonym) - 1)::INT AS ord, synonym, 1.0::FLOAT AS weight FROM sides)"""
 _EXPAND = f"""{_EDGES}, names AS (SELECT * FROM (VALUES {_NAMES}) t(identifier)),
 words AS (SELECT identifier, p - 1 AS word_pos, ws[p] AS word FROM (SELECT identifier, ws, unnest(range(1, len(ws) + 1)) AS p FROM (SELECT identifier, {_WORDS.format(x="identifier")} AS ws FROM names))),
 hop1 AS (SELECT identifier, word_pos, w.word AS source, e.ord AS o, e.synonym AS word FROM words w JOIN edges e ON e.word = w.word),
-lead AS (SELECT identifier, word_pos, source, arg_min(word, o) AS lead FROM hop1 GROUP BY ALL),
+leads AS (SELECT identifier, word_pos, source, arg_min(word, o) AS lead_word FROM hop1 GROUP BY ALL),
 hop2 AS (
-  SELECT l.identifier, l.word_pos, e.ord AS o, e.synonym AS word FROM lead l JOIN edges e ON e.word = l.lead
+  SELECT l.identifier, l.word_pos, e.ord AS o, e.synonym AS word FROM leads l JOIN edges e ON e.word = l.lead_word
   WHERE e.synonym <> l.source AND NOT EXISTS (SELECT 1 FROM hop1 h WHERE h.identifier = l.identifier AND h.word_pos = l.word_pos AND h.word = e.synonym)),
 writes AS (
   SELECT identifier, word_pos, 0 AS hop, 0 AS o, word, 1.0 AS score FROM words
