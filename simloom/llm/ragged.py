@@ -1,8 +1,9 @@
 """Unit tables: texts are cut at white space, distinct units are encoded once.
 
-A unit is a run of white space with what follows it up to the next run. Neither
-of the tokenizers used here lets a token cross the border between two units, so
-ids of a text are those of its units, joined by array lookups.
+A unit is a run of white space with what follows it up to the next run, cut once
+more where a sign follows a letter. Neither of the tokenizers used here lets a
+token cross the border between two units, so ids of a text are those of its
+units, joined by array lookups.
 """
 
 from __future__ import annotations
@@ -15,17 +16,24 @@ import pyarrow as pa
 from simloom.llm.shared import text_buffer
 
 #: Units that a worker remembers; a full table starts afresh.
-TABLE_UNITS = 800_000
+TABLE_UNITS = 1_000_000
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 4 << 20
-
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
-_VISIBLE = np.zeros(256, bool)
-_VISIBLE[0x21:0x7F] = True
-#: Lead bytes of U+00C0 to U+01FF, all of them visible.
-_LEAD = np.zeros(256, bool)
-_LEAD[0xC3:0xC8] = True
+ENCODE_BYTES = 12 << 20
+
+#: Classes of bytes: 0 other, 1 white space, 2 visible, 3 letter, 4 sign, 5 lead byte of
+#: U+00C0 to U+01FF (all visible), 6 continuation byte. Signs are those that never belong
+#: to what a letter before them begins; the brackets of special tokens are not among them.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 2
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 3
+_CLASS[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = 4
+_CLASS[[0x20, 0x09, 0x0A, 0x0D]] = 1
+_CLASS[0xC3:0xC8] = 5
+_CLASS[0x80:0xC0] = 6
+#: By classes of a byte and the next: 1 a border, 2 a border if the byte before was a lead byte.
+_BORDER = np.zeros(64, np.uint8)
+_BORDER[[2 * 8 + 1, 3 * 8 + 1, 4 * 8 + 1, 3 * 8 + 4]] = 1
+_BORDER[6 * 8 + 1] = 2
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -35,9 +43,11 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """
     mark = np.zeros(len(data) + 1, bool)
     if len(data):
-        visible = _VISIBLE[data]
-        visible[1:] |= (data[1:] >= 0x80) & _LEAD[data[:-1]]
-        mark[1:-1] = _BLANK[data[1:]] & visible[:-1]
+        kind = _CLASS[data]
+        border = _BORDER[(kind[:-1] << 3) | kind[1:]]
+        mark[1:-1] = border == 1
+        maybe = np.flatnonzero(border == 2)
+        mark[maybe[kind[maybe - 1] == 5] + 1] = True
     mark[offsets] = True
     borders = np.flatnonzero(mark)
     # Borders of empty texts coincide; each still needs a first unit.
@@ -59,8 +69,9 @@ def take(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray
 class UnitTable:
     """Token ids of units, by a function that encodes a list of new ones."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = TABLE_UNITS):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], fold: np.ndarray | None = None, limit: int = TABLE_UNITS):
+        """``fold`` maps bytes to those that the encoder treats alike, where no special token can arise."""
+        self.encode, self.fold, self.limit = encode, fold, limit
         self._clear()
 
     def _clear(self) -> None:
@@ -79,9 +90,12 @@ class UnitTable:
 
     def encode_texts(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a column; null is empty."""
-        strings, first = units(*text_buffer(column))
+        data, offsets = text_buffer(column)
+        if self.fold is not None and not ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any():  # no "<|"
+            data = self.fold[data]
+        strings, first = units(data, offsets)
         coded = strings.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
         fresh = [u for u in distinct if u not in self.index]
         if fresh:
             if self.index and len(self.index) + len(fresh) > self.limit:

@@ -30,12 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.llm.ragged import ENCODE_BYTES, UnitTable
-from simloom.llm.shared import binary_column, fresh_path, open_fs, slices
+from simloom.llm.shared import binary_column, fresh_path, open_fs, slices, text_buffer
 
 END_ID = 2
 MAGIC = b"SLTOKID1"
 BLOCK_IDS = 1 << 18
 
+#: The tokenizer lower-cases and drops white space, whatever its kind.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+FOLD[[9, 10, 13]] = 32
+
 _encoders: dict[str, TextEncoder] = {}
 
 
@@ -56,7 +61,7 @@ class TextEncoder:
         special = self.library.get_added_tokens_decoder()
         self.mark = next(((i, t.content) for i, t in special.items() if t.special and not t.normalized), None)
         self.specials = [t.content for t in special.values()]
-        self.units = UnitTable(self._encode_units)
+        self.units = UnitTable(self._encode_units, FOLD)
 
     def _apart(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
@@ -189,32 +194,42 @@ def read_file(system, path: str, ids_by_rank: np.ndarray) -> Iterator[tuple[list
 # --- the operator -------------------------------------------------------------------
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id and its token ids as little-endian 32-bit integers."""
+def id_type(size: int) -> str:
+    """The narrowest type for ids of a vocabulary of this size."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u4") -> DataFrame:
+    """A row per document: id and its token ids as little-endian integers."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], np.uint32)
         for part in slices(batches, 1, ENCODE_BYTES):
-            rows = [np.concatenate([x, end]).astype("<u4").tobytes() for x in enc.encode(part.column(1))]
+            rows = [np.concatenate([x, end]).astype(dtype).tobytes() for x in enc.encode(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), binary_column(rows)], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(encode, "doc_id long, ids binary")
 
 
-def frequency_ranks(encoded: DataFrame) -> np.ndarray:
+def vocabulary_size(tokenizer: str) -> int:
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
+
+
+def frequency_ranks(encoded: DataFrame, dtype: str) -> np.ndarray:
     """Token ids by falling count over all documents; at most one for each id."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in slices(batches, 1, 8 << 20):
-            for x in batch.column(1):
-                more = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(more) > len(total):
-                    more[: len(total)] += total
-                    total = more
-                else:
-                    total[: len(more)] += more
+            more = np.bincount(text_buffer(batch.column(1))[0].view(dtype))
+            if len(more) > len(total):
+                more[: len(total)] += total
+                total = more
+            else:
+                total[: len(more)] += more
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
@@ -230,9 +245,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, **options) -
     """
     spark = docs.sparkSession
     table = fresh_path(spark, "token-ids")
-    encode_documents(docs, tokenizer, **options).write.option("compression", "zstd").parquet(table)
+    dtype = id_type(max(vocabulary_size(tokenizer), options.get("end_id", END_ID) + 1))
+    encode_documents(docs, tokenizer, dtype=dtype, **options).write.option("compression", "zstd").parquet(table)
     encoded = spark.read.schema("doc_id long, ids binary").parquet(table)
-    ids_by_rank = frequency_ranks(encoded)
+    ids_by_rank = frequency_ranks(encoded, dtype)
     system, root = open_fs(folder)
     system.create_dir(root, recursive=True)
     with system.open_output_stream(f"{root}/ids-by-rank.bin") as f:
@@ -242,36 +258,24 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, **options) -
     rank_of[ids_by_rank] = np.arange(len(ids_by_rank), dtype=np.uint32)
     ranks = spark.sparkContext.broadcast(rank_of)  # one entry for each id of the vocabulary at most
 
-    def rank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
-            rows = []
-            for x in part.column(1):
-                control, data = encode_values(ranks.value[np.frombuffer(x.as_buffer(), "<u4")])
-                rows.append(len(control).to_bytes(8, "little") + control + data)
-            n = [len(x.as_buffer()) // 4 for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), binary_column(rows)], names=["doc_id", "n", "packed"])
-
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name = None, f"part-{uuid.uuid4().hex}.tok"
         fs_, top = open_fs(folder)
-        for part in slices(batches, 2):
-            for key, n, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+        for part in slices(batches, 1):
+            for key, x in zip(part.column(0).to_pylist(), part.column(1)):
                 if out is None:
                     out = FileWriter(fs_.open_output_stream(f"{top}/{name}", buffer_size=1 << 20))
-                raw = x.as_py()
-                cut = 8 + int.from_bytes(raw[:8], "little")
-                out.add(key, decode_values(raw[8:cut], raw[cut:], n))
+                out.add(key, ranks.value[np.frombuffer(x.as_buffer(), dtype)])
         if out is not None:
             out.close()
             row = [[TaskContext.get().partitionId()], [name], [out.total_docs], [out.total_ids]]
             yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1]), *(pa.array(c, pa.int64()) for c in row[2:])], names=["part", "name", "docs", "ids"])
 
     sorted_rows = (
-        encoded.mapInArrow(rank, "doc_id long, n long, packed binary")
-        .withColumn("tie", F.xxhash64("packed"))
+        encoded.withColumn("tie", F.xxhash64("ids"))
         .repartitionByRange(F.asc_nulls_first("doc_id"), "tie")
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
-        .drop("tie")
+        .select("doc_id", "ids")
     )
     files = sorted_rows.mapInArrow(write, "part long, name string, docs long, ids long").collect()  # a row per file
     manifest, start = [], 0
