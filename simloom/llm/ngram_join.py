@@ -50,8 +50,10 @@ ORDERS = 3
 SKETCH_BITS = 17
 #: Members up to which a list is paired within its bucket.
 SHORT_LIST = 32
-BUCKET_POSTINGS = 3_000_000
+BUCKET_POSTINGS = 1_200_000
 LEADER_ROUNDS = 3
+#: Pairs that a bucket makes in one numpy step.
+PAIR_STEP = 250_000
 FILTER_BITS = 23
 
 _U = np.uint64
@@ -226,30 +228,30 @@ def _match(table: pa.Table) -> pa.Table:
     start = np.flatnonzero(np.diff(token, prepend=token[0] + _U(1)))
     length = np.diff(start, append=len(token))
     out: list[pa.RecordBatch] = []
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    names, member = np.unique(cls, return_inverse=True)
+    codes: list[np.ndarray] = []  # a pair as one number: first member times members plus second
     held = 0
 
     def flush() -> None:
-        nonlocal pairs, held
-        if pairs:
-            a, b = (np.concatenate(x) for x in zip(*pairs))
-            both, count = np.unique(np.stack([a, b], 1), axis=0, return_counts=True) if len(a) else (np.zeros((0, 2), np.int64), np.zeros(0))
-            out.append(_listed(0, order, both[:, 0], both[:, 1], count))
-        pairs, held = [], 0
+        nonlocal codes, held
+        if codes:
+            both, count = np.unique(np.concatenate(codes), return_counts=True)
+            out.append(_listed(0, order, names[both // len(names)], names[both % len(names)], count))
+        codes, held = [], 0
 
     for m in range(2, SHORT_LIST + 1):
         lists = start[length == m]
         if not len(lists):
             continue
         x, y = np.triu_indices(m, 1)
-        step = max(1, 2_000_000 // len(x))
+        step = max(1, PAIR_STEP // len(x))
         for k in range(0, len(lists), step):
             i = (lists[k : k + step, None] + x).ravel()
             j = (lists[k : k + step, None] + y).ravel()
             ok = 100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j])
-            pairs.append((cls[i[ok]], cls[j[ok]]))  # a < b: a list is sorted by class
+            codes.append(member[i[ok]] * len(names) + member[j[ok]])  # a list is sorted by class, so first < second
             held += int(ok.sum())
-            if held > 4_000_000:
+            if held > 8 * PAIR_STEP:
                 flush()
     flush()
     long = np.repeat(length > SHORT_LIST, length)
