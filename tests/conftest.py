@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-DATA = "/root/testdata/sf0.001"
+from compare import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -34,15 +34,3 @@ def duck():
     for name in os.listdir(DATA):
         con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{name}'")
     return con
-
-
-def same_rows(df, con, sql):
-    """Whether a DataFrame and a DuckDB query give the same rows, columns by name."""
-    found = con.execute(sql)
-    names = [c[0] for c in found.description]
-    assert sorted(names) == sorted(df.columns)
-    order = sorted(names)
-    show = lambda v: f"{v:.6g}" if isinstance(v, float) else str(v)
-    theirs = sorted(tuple(show(r[names.index(c)]) for c in order) for r in found.fetchall())
-    ours = sorted(tuple(show(r[c]) for c in order) for r in df.collect())
-    assert ours == theirs
