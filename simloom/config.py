@@ -91,7 +91,6 @@ class Settings:
     color: str = "auto"
     quiet: bool = False
     glob_mode: str = "compat"
-    token_mode: str = "documented"
     simhash_max_distance: int | None = 10
     intra_file_extension: bool = False
 
