@@ -13,7 +13,7 @@ The steps, none of which emits all pairs of a group or gathers it in a task:
    on) and counts for the sketch, both over the whole corpus.
 2. Prefix tokens go to buckets of bounded size as packed arrays; copies within a
    batch send one. A bucket pairs the members of short lists. Long lists come
-   out as rows; crowded tokens go there straight away.
+   out as rows; crowded tokens go there straight away, in a pass of their own.
 3. Members of long lists are linked to leaders, verified and merged, for a few
    rounds. Then only pairs across components are left: those of members outside
    a list's largest component with all others.
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simloom.llm.components import components
-from simloom.llm.shared import binary_column, fresh_path, slices, text_buffer, written
+from simloom.llm.shared import binary_column, slices, text_buffer, written
 from simloom.llm.words import NOT_BLANK, hashed_words, mix, row_grams
 
 SHINGLE = 5
@@ -90,35 +90,43 @@ def least_shared(a, b):
     return np.maximum(1, least_overlap(a, b) - rest)
 
 
-def slot_of(h: np.ndarray) -> np.ndarray:
-    return (mix(h ^ _SALTS[3]) >> _U(64 - SKETCH_BITS)).astype(np.int64)
+def slot_of(h: np.ndarray, size: int) -> np.ndarray:
+    """The sketch slot of each shingle; ``size`` is a power of two."""
+    return (mix(h ^ _SALTS[3]) >> _U(65 - size.bit_length())).astype(np.int64)
 
 
 # --- 1: digests and sketch --------------------------------------------------------
 
 
-def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    names = ["doc_id", "cls", "digest", "n", "slot", "count"]
-    for part in slices(batches, 1):
-        digests, sizes = [], []
-        held = [np.zeros(0, np.uint64)]
-        for s in shingle_sets(part.column(1)):
-            sizes.append(len(s))
-            digests.append(digest(s) if len(s) else None)
-            held.append(s)
-        counts += np.bincount(slot_of(np.concatenate(held)), minlength=len(counts))
-        none = pa.nulls(len(sizes), pa.int64())
-        cls = pa.array([None if d is None else class_number(d) for d in digests], pa.int64())
-        yield pa.RecordBatch.from_arrays([part.column(0), cls, binary_column(digests), pa.array(sizes, pa.int64()), none, none], names=names)
-    slots = np.flatnonzero(counts)
-    none = pa.nulls(len(slots), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(slots), pa.binary()), none, pa.array(slots), pa.array(counts[slots])], names=names)
-
-
-def crowding(sketch: DataFrame) -> np.ndarray:
+SURVEY = "doc_id long, cls long, digest binary, n long, slot long, count long"
+
+
+def _survey(size: int):
+    """Batches of (id, text) to a row per document, and one per sketch slot and task."""
+
+    def survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
+        names = [c.split()[0] for c in SURVEY.split(", ")]
+        for part in slices(batches, 1):
+            digests, sizes = [], []
+            held = [np.zeros(0, np.uint64)]
+            for s in shingle_sets(part.column(1)):
+                sizes.append(len(s))
+                digests.append(digest(s) if len(s) else None)
+                held.append(s)
+            counts += np.bincount(slot_of(np.concatenate(held), size), minlength=size)
+            none = pa.nulls(len(sizes), pa.int64())
+            cls = pa.array([None if d is None else class_number(d) for d in digests], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), cls, binary_column(digests), pa.array(sizes, pa.int64()), none, none], names=names)
+        slots = np.flatnonzero(counts)
+        none = pa.nulls(len(slots), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(slots), pa.binary()), none, pa.array(slots), pa.array(counts[slots])], names=names)
+
+    return survey
+
+
+def crowding(sketch: DataFrame, size: int) -> np.ndarray:
     """A level per slot: 0 for usual ones, more the further its count lies above the mean."""
-    size = 1 << SKETCH_BITS
     total = sketch.agg(F.sum("count")).first()[0] or 0
     mean = total / size
     usual = int(mean + 6 * mean**0.5 + 32)
@@ -137,13 +145,15 @@ def order_key(h: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
     return (level.astype(np.uint64) << _U(58)) | (mix(h ^ _SALTS[order]) >> _U(6))
 
 
-def _prefixes(levels: np.ndarray, buckets: int):
-    """Batches of (id, text) to packed postings: one row per batch, order and bucket."""
+def _prefixes(levels: np.ndarray, buckets: int, crowded: bool):
+    """Batches of (id, text) to packed postings: one row per batch, order and bucket.
+
+    Crowded tokens come out of a pass of their own and are never paired in a bucket.
+    """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             tokens: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
-            hot: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
             cls, sizes, seen = [], [], set()
             for s in shingle_sets(part.column(1)):
                 if not len(s):
@@ -152,14 +162,15 @@ def _prefixes(levels: np.ndarray, buckets: int):
                 if d in seen:
                     continue
                 seen.add(d)
+                level, p = levels[slot_of(s, len(levels))], prefix_size(len(s))
+                if crowded and not level.any():
+                    continue
                 cls.append(class_number(d))
                 sizes.append(len(s))
-                level, p = levels[slot_of(s)], prefix_size(len(s))
                 for k in range(ORDERS):
                     key = order_key(s, level, k)
                     first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
-                    tokens[k].append(s[first])
-                    hot[k].append(level[first] > 0)
+                    tokens[k].append(s[first[(level[first] > 0) == crowded]])
             if not cls:
                 continue
             cls_a, sizes_a = np.array(cls, np.int64), np.array(sizes, np.uint32)
@@ -167,19 +178,15 @@ def _prefixes(levels: np.ndarray, buckets: int):
             for k in range(ORDERS):
                 token = mix(np.concatenate(tokens[k]))
                 doc = np.repeat(np.arange(len(cls)), [len(x) for x in tokens[k]])
-                is_hot = np.concatenate(hot[k])
                 bucket = ((token >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-                # Crowded tokens travel beside the others and are never paired in a bucket.
-                group = bucket * 2 + is_hot
-                at = np.argsort(group, kind="stable")
-                borders = np.flatnonzero(np.diff(group[at], prepend=-1))
+                at = np.argsort(bucket, kind="stable")
+                borders = np.flatnonzero(np.diff(bucket[at], prepend=-1))
                 for a, b in zip(borders.tolist(), [*borders[1:].tolist(), len(at)]):
                     run = at[a:b]
                     docs, index = np.unique(doc[run], return_inverse=True)
-                    kept = token[run] if is_hot[run[0]] else token[run].astype(np.uint32)
-                    rows.append(
-                        (int(bucket[run[0]]) * ORDERS + k, bool(is_hot[run[0]]), kept.tobytes(), index.astype(np.uint32 if len(docs) > 65535 else np.uint16).tobytes(), cls_a[docs].tobytes(), sizes_a[docs].tobytes())
-                    )
+                    kept = token[run] if crowded else token[run].astype(np.uint32)
+                    index = index.astype(np.uint32 if len(docs) > 65535 else np.uint16)
+                    rows.append((int(bucket[run[0]]) * ORDERS + k, crowded, kept.tobytes(), index.tobytes(), cls_a[docs].tobytes(), sizes_a[docs].tobytes()))
             if rows:
                 c = list(zip(*rows))
                 arrays = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.bool_()), *map(binary_column, c[2:])]
@@ -214,51 +221,55 @@ def _listed(kind: int, order: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*fixed, *(pa.array(c.astype(np.int64)) for c in columns)], names=["kind", "ord", "a", "b", "n"])
 
 
-def _match(table: pa.Table) -> pa.Table:
-    """One bucket: pairs of short lists, rows of long ones."""
-    bucket = table.column("bucket")[0].as_py()
-    order, number = bucket % ORDERS, bucket // ORDERS
-    parts = [_unpack(row) for row in table.to_pylist()]
-    token, cls, size = (np.concatenate(x) for x in zip(*parts))
-    at = np.lexsort((cls, token))
-    token, cls, size = token[at], cls[at], size[at]
-    new = np.ones(len(token), bool)  # copies in other batches sent the same
-    new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-    token, cls, size = token[new], cls[new], size[new]
-    start = np.flatnonzero(np.diff(token, prepend=token[0] + _U(1)))
-    length = np.diff(start, append=len(token))
-    out: list[pa.RecordBatch] = []
-    names, member = np.unique(cls, return_inverse=True)
-    codes: list[np.ndarray] = []  # a pair as one number: first member times members plus second
-    held = 0
-
-    def flush() -> None:
-        nonlocal codes, held
-        if codes:
-            both, count = np.unique(np.concatenate(codes), return_counts=True)
-            out.append(_listed(0, order, names[both // len(names)], names[both % len(names)], count))
-        codes, held = [], 0
-
-    for m in range(2, SHORT_LIST + 1):
-        lists = start[length == m]
-        if not len(lists):
-            continue
-        x, y = np.triu_indices(m, 1)
-        step = max(1, PAIR_STEP // len(x))
-        for k in range(0, len(lists), step):
-            i = (lists[k : k + step, None] + x).ravel()
-            j = (lists[k : k + step, None] + y).ravel()
-            ok = 100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j])
-            codes.append(member[i[ok]] * len(names) + member[j[ok]])  # a list is sorted by class, so first < second
-            held += int(ok.sum())
-            if held > 8 * PAIR_STEP:
-                flush()
-    flush()
-    long = np.repeat(length > SHORT_LIST, length)
-    if long.any():
-        named = (token[long] | (_U(number + 1) << _U(32))).view(np.int64)
-        out.append(_listed(1, order, named, cls[long], size[long]))
-    return pa.Table.from_batches(out or [_listed(0, 0, *[np.zeros(0, np.int64)] * 3)])
+def _matcher(short_list: int):
+    """A function of one bucket: pairs of lists up to ``short_list``, rows of longer ones."""
+
+    def match(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        order, number = bucket % ORDERS, bucket // ORDERS
+        parts = [_unpack(row) for row in table.to_pylist()]
+        token, cls, size = (np.concatenate(x) for x in zip(*parts))
+        at = np.lexsort((cls, token))
+        token, cls, size = token[at], cls[at], size[at]
+        new = np.ones(len(token), bool)  # copies in other batches sent the same
+        new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        token, cls, size = token[new], cls[new], size[new]
+        start = np.flatnonzero(np.diff(token, prepend=token[0] + _U(1)))
+        length = np.diff(start, append=len(token))
+        out: list[pa.RecordBatch] = []
+        names, member = np.unique(cls, return_inverse=True)
+        codes: list[np.ndarray] = []  # a pair as one number: first member times members plus second
+        held = 0
+
+        def flush() -> None:
+            nonlocal codes, held
+            if codes:
+                both, count = np.unique(np.concatenate(codes), return_counts=True)
+                out.append(_listed(0, order, names[both // len(names)], names[both % len(names)], count))
+            codes, held = [], 0
+
+        for m in range(2, short_list + 1):
+            lists = start[length == m]
+            if not len(lists):
+                continue
+            x, y = np.triu_indices(m, 1)
+            step = max(1, PAIR_STEP // len(x))
+            for k in range(0, len(lists), step):
+                i = (lists[k : k + step, None] + x).ravel()
+                j = (lists[k : k + step, None] + y).ravel()
+                ok = 100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j])
+                codes.append(member[i[ok]] * len(names) + member[j[ok]])  # a list is sorted by class, so first < second
+                held += int(ok.sum())
+                if held > 8 * PAIR_STEP:
+                    flush()
+        flush()
+        long = np.repeat(length > short_list, length)
+        if long.any():
+            named = (token[long] | (_U(number + 1) << _U(32))).view(np.int64)
+            out.append(_listed(1, order, named, cls[long], size[long]))
+        return pa.Table.from_batches(out or [_listed(0, 0, *[np.zeros(0, np.int64)] * 3)])
+
+    return match
 
 
 # --- verification ---------------------------------------------------------------------
@@ -375,22 +386,21 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_list: int = SHORT_LIST, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (doc_id, cls, n), links between classes (u, v), roots (node, root)."""
     texts = _texts(docs, id_col, text_col)
-    survey = written(texts.mapInArrow(_survey, "doc_id long, cls long, digest binary, n long, slot long, count long"), "survey")
+    slots = 1 << sketch_bits
+    survey = written(texts.mapInArrow(_survey(slots), SURVEY), "survey")
     members = survey.where("n IS NOT NULL").select("doc_id", "cls", "n")
     firsts = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     sketch = survey.where("slot IS NOT NULL").select("slot", "count")
-    levels = crowding(sketch)
+    levels = crowding(sketch, slots)
     shingles = sketch.agg(F.sum("count")).first()[0] or 0
     buckets = max(1, shingles * (100 - PERCENT) // 100 // BUCKET_POSTINGS + 1)
-    packed = fresh_path(docs.sparkSession, "postings")
-    texts.mapInArrow(_prefixes(levels, buckets), PACKED).repartition(buckets * ORDERS, "bucket").write.parquet(packed)
-    postings = docs.sparkSession.read.schema(PACKED).parquet(packed)
-    matched = postings.where("NOT hot").groupBy("bucket").applyInArrow(_match, LISTED)
-    crowded = postings.where("hot").mapInArrow(_hot_rows, LISTED)
-    listed = written(matched.unionByName(crowded), "lists")
+    matched = texts.mapInArrow(_prefixes(levels, buckets, False), PACKED).groupBy("bucket").applyInArrow(_matcher(short_list), LISTED)
+    if levels.any():
+        matched = matched.unionByName(texts.mapInArrow(_prefixes(levels, buckets, True), PACKED).mapInArrow(_hot_rows, LISTED))
+    listed = written(matched, "lists")
     lists = listed.where("kind = 1").select("ord", F.col("a").alias("token"), F.col("b").alias("cls"), F.col("n").alias("size")).distinct()
     links: DataFrame | None = None
     roots: DataFrame | None = None
@@ -419,9 +429,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return members, links, components(links)
 
 
-def join_report(docs: DataFrame, **columns: str) -> DataFrame:
+def join_report(docs: DataFrame, **options) -> DataFrame:
     """A row per document: size of its set and the least id of its component."""
-    members, _, roots = similar_classes(docs, **columns)
+    members, _, roots = similar_classes(docs, **options)
     rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select(
