@@ -33,7 +33,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,57 +144,72 @@ def order_key(h: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
     return (level.astype(np.uint64) << _U(58)) | (mix(h ^ _SALTS[order]) >> _U(6))
 
 
-def _prefixes(levels: np.ndarray, buckets: int, crowded: bool):
-    """Batches of (id, text) to packed postings: one row per batch, order and bucket.
-
-    Crowded tokens come out of a pass of their own and are never paired in a bucket.
-    """
+def _prefix_tokens(part: pa.RecordBatch, levels: np.ndarray, crowded: bool):
+    """Classes and sizes of the sets in a slice (each once), and per order the tokens
+    of their prefixes, crowded or not, with the place of their set."""
+    tokens: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
+    cls, sizes, seen = [], [], set()
+    for s in shingle_sets(part.column(1)):
+        if not len(s):
+            continue
+        d = digest(s)
+        if d in seen:
+            continue
+        seen.add(d)
+        level, p = levels[slot_of(s, len(levels))], prefix_size(len(s))
+        if crowded and not level.any():
+            continue
+        cls.append(class_number(d))
+        sizes.append(len(s))
+        for k in range(ORDERS):
+            key = order_key(s, level, k)
+            first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
+            tokens[k].append(s[first[(level[first] > 0) == crowded]])
+    none = [np.zeros(0, np.uint64)]
+    found = [(mix(np.concatenate(none + t)), np.repeat(np.arange(len(t)), [len(x) for x in t])) for t in tokens]
+    return np.array(cls, np.int64), np.array(sizes, np.uint32), found
+
+
+def _prefixes(levels: np.ndarray, buckets: int):
+    """Batches of (id, text) to packed postings: one row per slice, order and bucket."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            tokens: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
-            cls, sizes, seen = [], [], set()
-            for s in shingle_sets(part.column(1)):
-                if not len(s):
-                    continue
-                d = digest(s)
-                if d in seen:
-                    continue
-                seen.add(d)
-                level, p = levels[slot_of(s, len(levels))], prefix_size(len(s))
-                if crowded and not level.any():
-                    continue
-                cls.append(class_number(d))
-                sizes.append(len(s))
-                for k in range(ORDERS):
-                    key = order_key(s, level, k)
-                    first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
-                    tokens[k].append(s[first[(level[first] > 0) == crowded]])
-            if not cls:
-                continue
-            cls_a, sizes_a = np.array(cls, np.int64), np.array(sizes, np.uint32)
+            cls, sizes, found = _prefix_tokens(part, levels, False)
             rows: list[tuple] = []
-            for k in range(ORDERS):
-                token = mix(np.concatenate(tokens[k]))
-                doc = np.repeat(np.arange(len(cls)), [len(x) for x in tokens[k]])
+            for k, (token, doc) in enumerate(found):
                 bucket = ((token >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
                 at = np.argsort(bucket, kind="stable")
                 borders = np.flatnonzero(np.diff(bucket[at], prepend=-1))
                 for a, b in zip(borders.tolist(), [*borders[1:].tolist(), len(at)]):
                     run = at[a:b]
                     docs, index = np.unique(doc[run], return_inverse=True)
-                    kept = token[run] if crowded else token[run].astype(np.uint32)
                     index = index.astype(np.uint32 if len(docs) > 65535 else np.uint16)
-                    rows.append((int(bucket[run[0]]) * ORDERS + k, crowded, kept.tobytes(), index.tobytes(), cls_a[docs].tobytes(), sizes_a[docs].tobytes()))
+                    rows.append((int(bucket[run[0]]) * ORDERS + k, token[run].astype(np.uint32).tobytes(), index.tobytes(), cls[docs].tobytes(), sizes[docs].tobytes()))
             if rows:
                 c = list(zip(*rows))
-                arrays = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.bool_()), *map(binary_column, c[2:])]
-                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "hot", "tokens", "index", "cls", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *map(binary_column, c[1:])], names=["bucket", "tokens", "index", "cls", "sizes"])
 
     return pack
 
 
-PACKED = "bucket long, hot boolean, tokens binary, index binary, cls binary, sizes binary"
+def _crowded_rows(levels: np.ndarray):
+    """Batches of (id, text) to a row per crowded prefix token, in a pass of its own.
+
+    They are never paired in a bucket.
+    """
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            cls, sizes, found = _prefix_tokens(part, levels, True)
+            for k, (token, doc) in enumerate(found):
+                if len(token):
+                    yield _listed(1, k, token.view(np.int64), cls[doc], sizes[doc])
+
+    return rows
+
+
+PACKED = "bucket long, tokens binary, index binary, cls binary, sizes binary"
 #: kind 0: a pair (a, b) and its shared tokens; kind 1: a list's token and a member (a) with its size (b).
 LISTED = "kind int, ord int, a long, b long, n long"
 
@@ -203,18 +217,10 @@ LISTED = "kind int, ord int, a long, b long, n long"
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cls = np.frombuffer(row["cls"], np.int64)
     index = np.frombuffer(row["index"], np.uint16 if len(cls) <= 65535 else np.uint32)
-    token = np.frombuffer(row["tokens"], np.uint64 if row["hot"] else np.uint32).astype(np.uint64)
+    token = np.frombuffer(row["tokens"], np.uint32).astype(np.uint64)
     return token, cls[index], np.frombuffer(row["sizes"], np.uint32)[index].astype(np.int64)
 
 
-def _hot_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            token, cls, size = _unpack(row)
-            yield _listed(1, row["bucket"] % ORDERS, token.view(np.int64), cls, size)
-
-
 def _listed(kind: int, order: int, *columns: np.ndarray) -> pa.RecordBatch:
     n = len(columns[0])
     fixed = [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, order, np.int32))]
@@ -397,9 +403,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     levels = crowding(sketch, slots)
     shingles = sketch.agg(F.sum("count")).first()[0] or 0
     buckets = max(1, shingles * (100 - PERCENT) // 100 // BUCKET_POSTINGS + 1)
-    matched = texts.mapInArrow(_prefixes(levels, buckets, False), PACKED).groupBy("bucket").applyInArrow(_matcher(short_list), LISTED)
+    matched = texts.mapInArrow(_prefixes(levels, buckets), PACKED).groupBy("bucket").applyInArrow(_matcher(short_list), LISTED)
     if levels.any():
-        matched = matched.unionByName(texts.mapInArrow(_prefixes(levels, buckets, True), PACKED).mapInArrow(_hot_rows, LISTED))
+        matched = matched.unionByName(texts.mapInArrow(_crowded_rows(levels), LISTED))
     listed = written(matched, "lists")
     lists = listed.where("kind = 1").select("ord", F.col("a").alias("token"), F.col("b").alias("cls"), F.col("n").alias("size")).distinct()
     links: DataFrame | None = None
@@ -452,9 +458,9 @@ def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone = report.where("doc_id <> component_id").select("doc_id").join(kept, "doc_id", "left_anti").distinct()
     field = docs.sparkSession.sparkContext.broadcast(id_field(gone))
 
-    @F.pandas_udf("boolean")
-    def maybe_gone(slot: pd.Series) -> pd.Series:
-        return pd.Series(_in_field(field.value, slot.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def maybe_gone(slot: pa.Array) -> pa.Array:
+        return pa.array(_in_field(field.value, slot.to_numpy()))
 
     key = F.col(id_col).cast("long")
     slot = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
