@@ -11,7 +11,7 @@ from simloom.config import Settings
 from simloom.functions import identifiers as ident
 from simloom.functions import paths
 from simloom.functions import signatures as sig
-from simloom.operators import candidates, features, fuzzy, ranking, score, synonyms
+from simloom.operators import candidates, features, ranking, score, synonyms
 from simloom.plans import report
 from simloom.plans.scan import match_corpora, score_blocks, similar_files
 from simloom.sources.extract import extract_blocks
@@ -236,12 +236,8 @@ def q_path_filter(spark, sf_dir):
 
 
 def q_two_pass_fuzzy(spark, sf_dir):
-    settings = Settings(fuzzy_identifiers=True)
-    blocks = _documents(spark, sf_dir)
-    found = features.block_features(blocks)
-    scored = score.scored(score.overlapping(score.with_features(candidates.paired(found, distance=4), found)))
-    second = fuzzy.two_pass(scored, blocks, synonyms.small_dictionary(spark), settings.threshold, settings.frequency_penalty)
-    return _pairs(second.where(F.col("similarity") >= settings.threshold))
+    """Near duplicates with fuzzy scores in the moderate band, over all candidates of the scan."""
+    return _pairs(score_blocks(_documents(spark, sf_dir), Settings(fuzzy_identifiers=True)))
 
 
 CODE = (
