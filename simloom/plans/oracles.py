@@ -121,6 +121,7 @@ SELECT a.s AS signature, any_value(a.n) AS own, sum(b.n)::BIGINT AS compatible F
     "q_shared_token_pairs": f"WITH {_DOCS}, {_tf()}, {_simhash()}, {_pairs()} SELECT id_a, id_b FROM pairs",
     **{f"q_cosine_p{p}": f"{_cascade(_DOCS, p, False)} {_PAIR_OUT} WHERE similarity >= 0.85" for p in (0, 2, 5)},
     "q_cosine_relational": f"{_cascade(_DOCS, 2.0, False, 4)} {_PAIR_OUT}",
+    "q_cosine_relational_whole": f"{_cascade(_DOCS, 2.0, False)} {_PAIR_OUT}",
     "q_near_dup_pairs": f"{_NEAR_DUP} {_PAIR_OUT} WHERE similarity >= 0.85",
     "q_near_dup_cross_source": f"""{_cascade(_SOURCE)} SELECT least(file_a, file_b) AS file_a, greatest(file_a, file_b) AS file_b, round(max(similarity), 6) AS similarity
 FROM scored WHERE similarity >= 0.85 GROUP BY least(file_a, file_b), greatest(file_a, file_b)""",

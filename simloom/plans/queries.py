@@ -123,6 +123,13 @@ def q_cosine_relational(spark, sf_dir):
     return _pairs(scored)
 
 
+def q_cosine_relational_whole(spark, sf_dir):
+    """The relational score over all candidates of the scan."""
+    blocks = _documents(spark, sf_dir)
+    pairs = candidates.paired(features.block_features(blocks))
+    return _pairs(score.relational_scores(pairs, features.term_frequencies(blocks)))
+
+
 def q_near_dup_pairs(spark, sf_dir):
     return _pairs(score_blocks(_documents(spark, sf_dir), SETTINGS))
 
