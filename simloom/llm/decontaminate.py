@@ -14,8 +14,8 @@ block after another where it is read. No document is shuffled.
 Results for odd input: a null text has no words and no hits; an item without
 words occurs nowhere; repeated items count once each by their id (equal ids
 once); equal documents get equal results; an empty benchmark leaves all clean.
-Rows with a null id come back with it; items with a null id cannot be named and
-are left out. Extra columns are left alone.
+Rows with a null id come back with it; items with a null id are searched like
+others and count as one item without a name. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 class Block:
     """Fingerprints and words of some items."""
 
-    def __init__(self, ids: list[str], data: np.ndarray, offsets: np.ndarray, span: int, k: int):
+    def __init__(self, ids: list[str | None], data: np.ndarray, offsets: np.ndarray, span: int, k: int):
         self.ids, self.span, self.k = ids, span, k
         low = LOWER[data]
         starts, ends = word_spans(low, offsets, ALPHANUMERIC)
@@ -100,7 +100,7 @@ class Document:
         )
 
 
-def mark_hits(doc: Document, prints: np.ndarray, places: np.ndarray, block: Block, hit: np.ndarray, found: set[str]) -> None:
+def mark_hits(doc: Document, prints: np.ndarray, places: np.ndarray, block: Block, hit: np.ndarray, found: set[str | None]) -> None:
     """Marks the words of a document that lie in windows of the block's items."""
     low = np.searchsorted(block.prints, prints, side="left")
     high = np.searchsorted(block.prints, prints, side="right")
@@ -149,12 +149,12 @@ def write_blocks(items: DataFrame, folder: str, item_col: str, text_col: str, bl
     system, root = open_fs(folder)
     system.create_dir(root, recursive=True)
     names: list[str] = []
-    held: list[tuple[str, str]] = []
+    held: list[tuple[str | None, str]] = []
     size = 0
 
     def flush() -> None:
         nonlocal held, size
-        table = pa.table({"id": [h[0] for h in held], "text": [h[1] for h in held]})
+        table = pa.table({"id": pa.array([h[0] for h in held], pa.string()), "text": [h[1] for h in held]})
         sink = io.BytesIO()
         with pa.ipc.new_file(sink, table.schema) as w:
             w.write_table(table)
@@ -163,7 +163,7 @@ def write_blocks(items: DataFrame, folder: str, item_col: str, text_col: str, bl
             f.write(sink.getvalue())
         held, size = [], 0
 
-    rows = items.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    rows = items.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     for row in rows.distinct().toLocalIterator():
         held.append((row.id, row.text))
         size += len(row.text)
@@ -199,7 +199,7 @@ def find_hits(
     k: int = K,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """A row per document: words, words hit, items that occur (sorted as strings)."""
+    """A row per document: words, words hit, items that occur (sorted as strings, a null last)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scan, schema = scanner(docs, items, item_col, item_text_col, span, k, block_words)
     return rows.mapInArrow(scan, schema)
@@ -226,7 +226,7 @@ def scanner(docs: DataFrame, items: DataFrame, item_col: str, item_text_col: str
                 at = winnow(h, span - k + 1)
                 prints.append((h[at], at))
             hits = [np.zeros(len(d.words), bool) for d in docs_]
-            found: list[set[str]] = [set() for _ in docs_]
+            found: list[set[str | None]] = [set() for _ in docs_]
             for name in names:
                 block = read_block(f"{folder}/{name}", span, k)
                 for d, (h, at), hit, f in zip(docs_, prints, hits, found):
@@ -237,7 +237,7 @@ def scanner(docs: DataFrame, items: DataFrame, item_col: str, item_text_col: str
                     part.column(0),
                     pa.array([len(h) for h in hits], pa.int64()),
                     pa.array([int(h.sum()) for h in hits], pa.int64()),
-                    pa.array([sorted(f) for f in found], pa.list_(pa.string())),
+                    pa.array([sorted(f, key=lambda x: (x is None, x or "")) for f in found], pa.list_(pa.string())),
                 ],
                 names=["doc_id", "n_words", "n_hit", "items"],
             )
