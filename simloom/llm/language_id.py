@@ -19,6 +19,7 @@ gives no rows. Extra columns are left alone.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -35,8 +36,6 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 UNKNOWN = "und"
-#: Most languages that are learned, the commonest first.
-MAX_LANGUAGES = 200
 PER_LANGUAGE, WINDOWS_PER_TEXT = 400, 5
 EPOCHS, BATCH, RATE, MOMENTUM, SEED = 5, 64, 0.05, 0.9, 17
 #: Windows that one numpy step predicts.
@@ -196,14 +195,15 @@ def sample_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, p
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         (fold("doc_id") != 2) & F.col("lang").isNotNull() & (F.length("text") > 0)
     )
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     languages = sorted(r.lang for r in counts)
     million = 1_000_000
-    chance = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(min(million, million * per_language // r.n + 1)))))
+    chances = {r.lang: min(million, million * per_language // r.n + 1) for r in counts}
+    chance = F.from_json(F.lit(json.dumps(chances)), "map<string,int>")
     lot = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(million))
-    chosen = known.where(F.col("lang").isin(languages)).where(lot < F.element_at(chance, F.col("lang"))).select("lang", "text")
+    chosen = known.where(lot < F.element_at(chance, F.col("lang"))).select("lang", "text")
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):

@@ -3,7 +3,7 @@
 import duckdb
 from test_text_ops import same_rows
 
-from simloom.llm import decontaminate
+from simloom.llm import decontaminate, language_id
 from simloom.llm.oracles import ORACLES
 
 
@@ -19,3 +19,10 @@ def test_items_without_id_are_searched(spark):
     same_rows(decontaminate.decontamination_report(d, b), con, ORACLES["op8_decontamination"])
     same_rows(decontaminate.decontamination_report(d, b, block_words=1), con, ORACLES["op8_decontamination"])
     assert [r.doc_id for r in decontaminate.keep_clean(d, b).collect()] == [3]
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(i, f"text number {i}", f"l{i % 210:03d}") for i in range(2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, labels, languages = language_id.sample_windows(docs, "doc_id", "text", "lang", 10, 1)
+    assert languages == sorted({r[2] for r in rows}) and len(set(labels.tolist())) == 210
