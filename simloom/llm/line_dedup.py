@@ -1,12 +1,11 @@
 """Line dedup: drop lines that many documents share, but for one document.
 
 Native: DataFrame functions only. Lines become 128-bit hashes; the hashes are
-range-partitioned together with their document and sorted by hash, document and
-position, so that a partition streams over its runs and keeps, for each hash,
-the first document and how many there are. A hash that a third of all documents
-hold is spread over many ranges, each of which hands on one row. What goes back
-to the documents is a compressed bitmap (its non-zero 64-bit words) of the
-lines that stay or go, never text.
+range-partitioned together with their document, and hash aggregation, in place of
+a secondary sort, finds for each hash the first document and how many there are.
+A hash that a third of all documents hold is spread over many ranges before it
+is aggregated. What goes back to the documents is a compressed bitmap (its
+non-zero 64-bit words) of the lines that go, never text.
 
 Results for odd input: a null or empty text is one empty line and stays; rows
 with the same id count as one document; rows with a null id count together as
@@ -53,11 +52,8 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 def first_occurrences(hashes: DataFrame, min_documents: int) -> DataFrame:
     """For each hash in enough documents, the first one in the order (largest id)."""
-    ranged = hashes.repartitionByRange("__h1", "__h2", F.desc("__doc")).sortWithinPartitions(
-        "__h1", "__h2", F.desc("__doc"), "__pos"
-    )
-    # (hash, document) runs close within their range; of each run its first line goes on.
-    runs = ranged.groupBy("__h1", "__h2", "__doc").agg(F.first("__pos").alias("__first"))
+    ranged = hashes.repartitionByRange("__h1", "__h2", F.desc("__doc"))
+    runs = ranged.select("__h1", "__h2", "__doc").distinct()
     return (
         runs.groupBy("__h1", "__h2")
         .agg(F.count(F.lit(1)).alias("__n"), F.max("__doc").alias("__keep"))
