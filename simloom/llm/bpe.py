@@ -10,11 +10,15 @@ encoding of each shared prefix is found once, and a word's tokens are read off
 backwards from its states.
 
 That two tokens may follow each other means that the merges, run on their joined
-bytes, give back those two; answers are remembered.
+bytes, give back those two. Answers and units are remembered within a bound and
+forgotten at the end of a task; only the vocabulary stays with a worker.
+
+Encoding and decoding run in one Arrow stage: ids go to the decoder as arrays.
 
 Results for odd input: a null text is empty and has no ids; a null id comes back
 null; equal texts get equal ids; an empty table gives no rows. Extra columns are
-left alone. Special tokens in a text become their ids, as in the library.
+left alone, whatever their names. A very long text is encoded whole, as a slice of
+its own. Special tokens in a text become their ids, as in the library.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.ragged import ENCODE_BYTES, UnitTable, take
-from simloom.llm.shared import binary_column, slices
+from simloom.llm.ragged import UnitTable, take
+from simloom.llm.shared import binary_column, release_memory, slices
 
-#: Pairs of tokens whose compatibility a worker remembers.
-PAIR_LIMIT = 1_000_000
+#: Pairs of tokens whose compatibility a task remembers, about 100 bytes each.
+PAIR_LIMIT = 200_000
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
 
 #: Letters whose class every Unicode version agrees on.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ƺƼ-ƿ"
@@ -64,33 +70,35 @@ class Vocabulary:
         to_bytes = lambda s: bytes(byte_of[c] for c in s)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.id_of = {to_bytes(s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        everything = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.size = max(everything) + 1
+        #: Two ids as one number, to rank and merged id as one number.
+        self.merges: dict[int, int] = {}
         for rank, m in enumerate(spec["model"]["merges"]):
             left, right = m.split(" ") if isinstance(m, str) else m
             a, b = to_bytes(left), to_bytes(right)
-            self.merges[self.id_of[a], self.id_of[b]] = rank, self.id_of[a + b]
-        everything = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.size = max(everything) + 1
+            self.merges[self.id_of[a] * self.size + self.id_of[b]] = rank * self.size + self.id_of[a + b]
         self.bytes_of = [everything.get(i, b"") for i in range(self.size)]
         self.longest = max(map(len, self.id_of))
         self.byte_ids = [self.id_of.get(bytes([b])) for b in range(256)]
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding of a piece by its definition: always the first merge of least rank."""
-        merges, none = self.merges, (self.size + len(self.merges), -1)
+        merges, size = self.merges, self.size
+        none = size * (len(merges) + 1)
         ids = [self.byte_ids[b] for b in data]
-        best = [merges.get(p, none) for p in zip(ids, ids[1:])]
+        best = [merges.get(a * size + b, none) for a, b in zip(ids, ids[1:])]
         while best:
             least = min(best)
-            if least is none:
+            if least == none:
                 break
             i = best.index(least)
-            ids[i : i + 2] = [least[1]]
+            ids[i : i + 2] = [least % size]
             del best[i]
             if i:
-                best[i - 1] = merges.get((ids[i - 1], ids[i]), none)
+                best[i - 1] = merges.get(ids[i - 1] * size + ids[i], none)
             if i < len(best):
-                best[i] = merges.get((ids[i], ids[i + 1]), none)
+                best[i] = merges.get(ids[i] * size + ids[i + 1], none)
         return ids
 
 
@@ -201,6 +209,12 @@ class Codec:
         """The ids of each text of a column; null is empty."""
         return self.units.encode_texts(column)
 
+    def forget(self) -> None:
+        """Drops what was remembered of the texts seen."""
+        self.units.clear()
+        self.trie.pairs.clear()
+        release_memory()
+
     def decode(self, ids: np.ndarray) -> str:
         """Ids outside the vocabulary stand for nothing."""
         known = ids[ids < self.v.size].astype(np.int64)
@@ -216,26 +230,38 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id and token ids as little-endian 32-bit integers."""
+def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """A row per document: id and token ids as little-endian 32-bit integers.
+
+    With ``decoded`` also the text that the decoder gives back for these ids.
+    """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
-        for part in slices(batches, 1, ENCODE_BYTES):
-            rows = [x.astype("<u4").tobytes() for x in c.encode(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), binary_column(rows)], names=["doc_id", "ids"])
+        try:
+            for part in slices(batches, 1, SLICE):
+                ids = c.encode(part.column(1))
+                columns = [part.column(0), binary_column([x.astype("<u4").tobytes() for x in ids])]
+                if decoded:
+                    columns.append(pa.array(map(c.decode, ids), pa.string(), size=len(ids)))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
+        finally:
+            c.forget()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, ids binary")
+    return _columns(docs, id_col, text_col).mapInArrow(encode, "doc_id long, ids binary" + ", decoded string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """``encoded`` with the decoded text beside the ids."""
+    """``encoded`` (doc_id, ids) with the decoded text beside the ids."""
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         for part in slices(batches, 1):
-            texts = [c.decode(np.frombuffer(x.as_buffer(), "<u4")) for x in part.column(1)]
+            texts = [c.decode(np.frombuffer(x.as_buffer() or b"", "<u4")) for x in part.column(1)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, decoded string")
@@ -243,7 +269,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
 def bpe_report(docs: DataFrame, tokenizer: str, **columns: str) -> DataFrame:
     """Digests of ids and decoded text per document."""
-    both = decode_documents(encode_documents(docs, tokenizer, **columns), tokenizer)
+    both = encode_documents(docs, tokenizer, decoded=True, **columns)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

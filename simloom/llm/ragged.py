@@ -15,8 +15,10 @@ import pyarrow as pa
 
 from simloom.llm.shared import text_buffer
 
-#: Units that a worker remembers; a full table starts afresh.
-TABLE_UNITS = 1_000_000
+#: Bytes that remembered units may take, by an estimate; a full table starts afresh.
+TABLE_BYTES = 48 << 20
+#: What a unit takes beside its text and ids: string and number objects, a place in the dict.
+UNIT_BYTES = 190
 #: Bytes of text that are encoded at once.
 ENCODE_BYTES = 12 << 20
 
@@ -69,12 +71,13 @@ def take(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray
 class UnitTable:
     """Token ids of units, by a function that encodes a list of new ones."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], fold: np.ndarray | None = None, limit: int = TABLE_UNITS):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], fold: np.ndarray | None = None, limit: int = TABLE_BYTES):
         """``fold`` maps bytes to those that the encoder treats alike, where no special token can arise."""
         self.encode, self.fold, self.limit = encode, fold, limit
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        self.held = 0
         self.index: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.offsets = np.zeros(1, np.int64)
@@ -83,6 +86,7 @@ class UnitTable:
         runs = self.encode(fresh)
         base = len(self.index)
         self.index.update(zip(fresh, range(base, base + len(fresh))))
+        self.held += sum(map(len, fresh)) + UNIT_BYTES * len(fresh)
         sizes = np.fromiter(map(len, runs), np.int64, len(runs))
         more = np.fromiter((x for r in runs for x in r), np.uint32, int(sizes.sum()))
         self.flat = np.concatenate([self.flat, more])
@@ -98,8 +102,8 @@ class UnitTable:
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
         fresh = [u for u in distinct if u not in self.index]
         if fresh:
-            if self.index and len(self.index) + len(fresh) > self.limit:
-                self._clear()
+            if self.held > self.limit:
+                self.clear()
                 fresh = distinct
             self._learn(fresh)
         known = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,11 +20,13 @@ SLICE_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and set, so that later calls agree.
+    Only where the session names none and runs on this machine alone (tests) a
+    temporary folder is made and set, so that later calls agree.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='simloom-')}"
         spark.sparkContext.setCheckpointDir(root)
         return spark.sparkContext.getCheckpointDir()
@@ -45,6 +49,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for df in tables:
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = hadoop.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_memory() -> None:
+    """Gives freed memory of a Python worker back to the system, where it can be."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     """The Arrow file system and the path in it of a shared file."""
     if path.startswith("file:") or path.startswith("/"):

@@ -36,7 +36,10 @@ END_ID = 2
 MAGIC = b"SLTOKID1"
 BLOCK_IDS = 1 << 18
 
-#: The tokenizer lower-cases and drops white space, whatever its kind.
+#: Bytes that the remembered units of a worker may take.
+TABLE_BYTES = 200 << 20
+
+#: For files that lower-case and drop white space, whatever its kind; others are not folded.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[[9, 10, 13]] = 32
@@ -61,7 +64,13 @@ class TextEncoder:
         special = self.library.get_added_tokens_decoder()
         self.mark = next(((i, t.content) for i, t in special.items() if t.special and not t.normalized), None)
         self.specials = [t.content for t in special.values()]
-        self.units = UnitTable(self._encode_units, FOLD)
+        self.units = UnitTable(self._encode_units, FOLD if self._folds() else None, TABLE_BYTES)
+
+    def _folds(self) -> bool:
+        """Whether this file gives bytes that ``FOLD`` makes one the same ids."""
+        letters = [chr(c) for c in range(65, 91)]
+        probes = [*letters, "".join(letters), *(f"a{b}b" for b in "\t\n\r"), "a \t\r\nB"]
+        return self._apart(probes) == self._apart([bytes(FOLD[list(p.encode())]).decode() for p in probes])
 
     def _apart(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
