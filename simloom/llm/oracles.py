@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from simloom.llm.secret_scan import BASE_KINDS, RULES
 from simloom.llm.url_filter import CONTRACT_RULES, DEFAULT_GLOBS
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -21,31 +20,43 @@ marked AS (
   SELECT l.*, c.k IS NOT NULL AND l.doc_id <> c.keep AS gone
   FROM lines l LEFT JOIN common c ON l.k = c.k),
 words AS (
-  SELECT doc_id, pos // 64 AS w, bit_or(1::UBIGINT << (pos % 64)::UBIGINT) AS bits
+  SELECT doc_id, pos // 64 AS w, xor(bit_or(1::UBIGINT << (pos % 64)::UBIGINT), 18446744073709551615) AS bits
   FROM marked WHERE gone GROUP BY ALL),
 maps AS (
-  SELECT doc_id, string_agg(w || ':' || lower(to_hex(bits)), ',' ORDER BY w) AS dropped_words
+  SELECT doc_id, string_agg(w || ':' || lower(to_hex(bits)), ',' ORDER BY w) AS kept_words
   FROM words GROUP BY doc_id)
 SELECT m.doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256,
-       coalesce(any_value(dropped_words), '') AS dropped_words
+       coalesce(any_value(kept_words), '') AS kept_words
 FROM marked m LEFT JOIN maps USING (doc_id) GROUP BY m.doc_id
 """
 
 
-def _spans_sql(order: int, rule) -> str:
-    pattern = rule.pattern.replace("'", "''")
+#: The kinds of secrets: name, pattern, group that counts, its least size. The first three are the base.
+SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"(AKIA[A-Z0-9]+)", 1, 20),
+    ("hex", r"([0-9a-f]+)", 1, 24),
+    ("github", r"(gh[pousr]_[A-Za-z0-9]+)", 1, 40),
+    ("slack", r"(xox[baprs]-[A-Za-z0-9-]+)", 1, 15),
+    ("jwt", r"(eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+)", 1, 30),
+    ("pem", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 27),
+)
+
+
+def _spans_sql(order: int, kind: str, pattern: str, group: int, least: int) -> str:
+    pattern = pattern.replace("'", "''")
     return f"""
-  SELECT doc_id, {order} AS ord, '{rule.kind}' AS kind, n, s, s + w AS e FROM (
+  SELECT doc_id, {order} AS ord, '{kind}' AS kind, n, s, s + w AS e FROM (
     SELECT doc_id, n, w, sum(b) OVER up_to + sum(w) OVER up_to - w AS s FROM (
       SELECT doc_id, unnest(range(1, len(whole) + 1)) AS i,
              length(pieces[i]) AS b, length(whole[i]) AS w, length(counted[i]) AS n
       FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS pieces,
                    regexp_extract_all(text, '{pattern}') AS whole,
-                   regexp_extract_all(text, '{pattern}', {rule.group}) AS counted
+                   regexp_extract_all(text, '{pattern}', {group}) AS counted
             FROM docs))
     WINDOW up_to AS (PARTITION BY doc_id ORDER BY i))
-  WHERE n >= {rule.min_chars}"""
+  WHERE n >= {least}"""
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -75,11 +86,12 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_KINDS = ", ".join(f"'{k}'" for k in BASE_KINDS)
-_COUNTS = ", ".join(f"(count(*) FILTER (kind = '{k}'))::BIGINT AS n_{k}" for k in BASE_KINDS)
+_BASE = [s[0] for s in SECRETS[:3]]
+_KINDS = ", ".join(f"'{k}'" for k in _BASE)
+_COUNTS = ", ".join(f"(count(*) FILTER (kind = '{k}'))::BIGINT AS n_{k}" for k in _BASE)
 SECRET_SCAN = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-spans AS ({" UNION ALL ".join(_spans_sql(i, r) for i, r in enumerate(RULES))})
+spans AS ({" UNION ALL ".join(_spans_sql(i, *r) for i, r in enumerate(SECRETS))})
 SELECT d.doc_id, {_COUNTS},
   sha256(coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, ord) FILTER (kind IN ({_KINDS})), '')) AS base_sha256,
   coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, ord), '') AS spans
