@@ -2,16 +2,22 @@
 
 Native: DataFrame functions only. Each rule's regex gives a Boolean query over
 trigrams that any match must hold. The trigrams that the queries ask for are
-indexed: one posting (trigram, row) for each row that has it, kept as a table
-sorted by trigram. The queries intersect and unite postings, and only rows that
-come through are verified with the regex itself. A rule without mandatory
-trigrams scans every row.
+indexed: one posting (trigram, row) for each row that has it, in a table whose
+files are sorted by trigram; a frequent trigram is spread over many of them by
+row. The queries intersect and unite postings, and only rows that come through
+are verified with the regex itself. A rule without mandatory trigrams scans
+every row.
+
+Texts stay where they are read but for those of rows that may have come through:
+a set of row hash slots, of bounded size, parts them from the rest beforehand.
 
 Trigrams are taken from the lower-cased text, which can only add candidates.
 
 Results for odd input: a null text is empty; rows with a null id are scanned
-like others; equal rows get equal results; empty tables give no rows. Extra
-columns are left alone.
+like others; equal rows get equal results; spans that start at the same place
+are ordered by kind; a very long text is scanned whole, in time linear in its
+length and nearly so in its matches; empty tables give no rows. Extra columns,
+whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -24,18 +30,22 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.line_dedup import NO_ID, row_hash
-from simloom.llm.shared import fresh_path
+from simloom.llm.line_dedup import ROW, column, row_key
+from simloom.llm.shared import dropped, fresh_path, written
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. A match counts if its ``group`` has ``min_chars`` at least."""
+    """A kind of secret. A match counts if its ``group`` has ``min_chars`` at least.
+
+    ``verify`` is a pattern with the same counting matches and fewer failing ones.
+    """
 
     kind: str
     pattern: str
     group: int
     min_chars: int
+    verify: str | None = None
 
 
 #: Kinds in the order that breaks ties between spans; the first three are the base.
@@ -46,8 +56,8 @@ RULES = (
         2,
         6,
     ),
-    Rule("access", r"(AKIA[A-Z0-9]+)", 1, 20),
-    Rule("hex", r"([0-9a-f]+)", 1, 24),
+    Rule("access", r"(AKIA[A-Z0-9]+)", 1, 20, r"(AKIA[A-Z0-9]{16,})"),
+    Rule("hex", r"([0-9a-f]+)", 1, 24, r"([0-9a-f]{24,})"),
     Rule("github", r"(gh[pousr]_[A-Za-z0-9]+)", 1, 40),
     Rule("slack", r"(xox[baprs]-[A-Za-z0-9-]+)", 1, 15),
     Rule("jwt", r"(eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+)", 1, 30),
@@ -158,79 +168,78 @@ def matches_query(q: Query, has) -> Column:
 
 # --- index, search, verification ---------------------------------------------
 
+#: Row slots that part possible candidates from the rest: at most so many numbers are broadcast.
+SLOTS = 1 << 18
+#: Matches of one text whose places are summed in one run.
+RUN = 128
+SPANS = "array<struct<start:int,ord:int,end:int>>"
+
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        text.alias("__text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__doc"),
-        *row_hash(text),
-    )
+    text = F.coalesce(column(text_col), F.lit(""))
+    rows = docs.select(column(id_col).alias("doc_id"), text.alias("text"), *row_key(column(id_col), text))
+    return rows.withColumn("slot", F.pmod("t1", F.lit(SLOTS)).cast("int"))
 
 
 def build_index(docs: DataFrame, trigrams: list[str], path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (trigram, row) of these trigrams over whole texts, as a table at ``path``.
-
-    Range-partitioned by trigram and row: one frequent trigram fills many files.
-    """
-    keyed = _keyed(docs, id_col, text_col).withColumn("__low", F.lower("__text"))
-    # A null stands for "no posting"; array_compact drops it before rows are made.
-    held = F.array_compact(F.array(*(F.when(F.contains("__low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))))
-    names = F.array(*map(F.lit, trigrams))
-    postings = keyed.select("__doc", "__t1", "__t2", F.explode(held).alias("__i")).select(
-        F.element_at(names, F.col("__i") + 1).alias("trigram"), "__doc", "__t1", "__t2"
-    )
+    """Postings (trigram, row) of these trigrams over whole texts, as a table at ``path``."""
     spark = docs.sparkSession
-    postings.repartitionByRange("trigram", "__doc", "__t1").sortWithinPartitions("trigram", "__doc").write.parquet(path)
+    rows = _keyed(docs, id_col, text_col).withColumn("low", F.lower("text"))
+    # A null stands for "no posting"; array_compact drops it before rows are made.
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))
+    postings = rows.select(F.explode(held).alias("trigram"), *ROW, "slot")
+    postings.repartition("trigram", F.pmod(F.xxhash64("doc", "t1"), F.lit(1024))).sortWithinPartitions("trigram", "doc").write.parquet(path)
     return spark.read.schema(postings.schema).parquet(path)
 
 
 def search_index(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Rows that come through any query: key columns and one flag per rule."""
-    queries = [(r, trigram_query(r.pattern)) for r in rules]
+    """Rows that come through any query: row, slot and one flag ``c_<kind>`` per rule."""
+    queries = [(r, q) for r in rules if (q := trigram_query(r.pattern)) is not True]
     needed = sorted({t for _, q in queries for t in trigrams_of(q)})
     bit = {t: i for i, t in enumerate(needed)}
-    number = reduce(lambda c, t: c.when(F.col("trigram") == t, bit[t]), needed, F).otherwise(None)
-    # Two 64-bit words hold the postings of up to 128 trigrams of one row.
-    word = [F.bit_or(F.when(F.floor(F.col("__b") / 64) == w, F.expr("shiftleft(1L, __b % 64)")).otherwise(F.lit(0).cast("long"))) for w in (0, 1)]
-    if len(needed) > 128:
-        raise ValueError("more than 128 mandatory trigrams: split the rules")
-    rows = (
-        index.where(F.col("trigram").isin(needed))
-        .withColumn("__b", number)
-        .groupBy("__doc", "__t1", "__t2")
-        .agg(word[0].alias("__w0"), word[1].alias("__w1"))
-    )
-    has = lambda t: F.getbit(F.col(f"__w{bit[t] // 64}"), F.lit(bit[t] % 64)) == 1
-    flags = [matches_query(q, has).alias(f"__c_{r.kind}") for r, q in queries if q is not True]
-    found = rows.select("__doc", "__t1", "__t2", *flags)
-    return found.where(reduce(lambda a, b: a | b, (F.col(f"__c_{r.kind}") for r, q in queries if q is not True)))
+    number = F.element_at(F.create_map(*(F.lit(x) for pair in bit.items() for x in pair)), F.col("trigram"))
+    none = F.lit(0).cast("long")
+    words = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, F.expr("shiftleft(1L, bit % 64)")).otherwise(none)).alias(f"w{w}") for w in range(-(-len(needed) // 64))]
+    rows = index.where(F.col("trigram").isin(needed)).withColumn("bit", number).groupBy(*ROW, "slot").agg(*words)
+    has = lambda t: F.getbit(F.col(f"w{bit[t] // 64}"), F.lit(bit[t] % 64)) == 1
+    flags = [matches_query(q, has).alias(f"c_{r.kind}") for r, q in queries]
+    return rows.select(*ROW, "slot", *flags).where(" OR ".join(f"c_{r.kind}" for r, _ in queries))
 
 
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end): code points, leftmost non-overlapping matches.
 
     The text is split at the matches; the lengths of the pieces and of the
-    matches add up to the places.
+    matches add up to the places. They are summed in runs, and the runs after.
     """
-    pattern = F.lit(rule.pattern)
-    between = F.transform(F.split(text, rule.pattern, -1), lambda s: F.char_length(s))
-    whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda s: F.char_length(s))
-    counted = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda s: F.char_length(s))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,end:int>>").alias("out"))
+    pattern = rule.verify or rule.pattern
+    size = lambda s: F.char_length(s)
+    between = F.transform(F.split(text, pattern, -1), size)
+    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), size)
+    counted = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)), size)
+    zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("between"), whole.alias("whole"), counted.alias("counted"))
+    none = F.array().cast(SPANS)
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), F.lit(order).alias("ord"), b.cast("int").alias("end"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["between"]
         end = begin + x["whole"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"))
-        out = F.when(x["counted"] >= rule.min_chars, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        out = F.when(x["counted"] >= rule.min_chars, F.concat(acc["out"], F.array(span(begin, end)))).otherwise(acc["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    zipped = F.arrays_zip(
-        F.slice(between, F.lit(1), F.size(whole)).alias("between"), whole.alias("whole"), counted.alias("counted")
-    )
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    def run(first: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(F.slice(zipped, first, F.lit(RUN)), start, step)
+
+    runs = F.transform(F.sequence(F.lit(1), F.size(whole), F.lit(RUN)), run)
+
+    def join(acc: Column, r: Column) -> Column:
+        moved = F.transform(r["out"], lambda s: span(s["start"] + acc["at"], s["end"] + acc["at"]))
+        out = F.when(F.size(moved) > 0, F.concat(acc["out"], F.array(moved))).otherwise(acc["out"])
+        return F.struct((acc["at"] + r["at"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+    return F.when(text.rlike(pattern), F.flatten(F.aggregate(runs, start, join)["out"])).otherwise(none)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -238,23 +247,28 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     needed = sorted({t for q in queries.values() for t in trigrams_of(q)})
     keyed = _keyed(docs, id_col, text_col)
-    if needed:
-        index = build_index(docs, needed, fresh_path(docs.sparkSession, "trigrams"), id_col, text_col)
-        keyed = keyed.join(search_index(index, rules), ["__doc", "__t1", "__t2"], "left")
-    none = F.array().cast("array<struct<start:int,ord:int,end:int>>")
-    found = []
-    for i, r in enumerate(rules):
-        spans = rule_spans(F.col("__text"), r, i)
-        found.append(spans if queries[r.kind] is True else F.when(F.col(f"__c_{r.kind}"), spans).otherwise(none))
+    none = F.array().cast(SPANS)
     kinds = F.array(*(F.lit(r.kind) for r in rules))
-    ordered = F.array_sort(F.concat(*found))
-    return keyed.select(
-        "doc_id",
-        F.transform(
-            ordered,
-            lambda s: F.struct(F.element_at(kinds, s["ord"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
-        ).alias("spans"),
-    )
+
+    def verified(rows: DataFrame, flagged: bool) -> DataFrame:
+        found = []
+        for i, r in enumerate(rules):
+            if queries[r.kind] is True:
+                found.append(rule_spans(F.col("text"), r, i))
+            elif flagged:
+                found.append(F.when(F.col(f"c_{r.kind}"), rule_spans(F.col("text"), r, i)).otherwise(none))
+        named = lambda s: F.struct(F.element_at(kinds, s["ord"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+        return rows.select("doc_id", F.transform(F.array_sort(F.concat(none, *found)), named).alias("spans"))
+
+    if not needed:
+        return verified(keyed, False)
+    path = fresh_path(docs.sparkSession, "trigrams")
+    through = written(search_index(build_index(docs, needed, path, id_col, text_col), rules), "secret-candidates")
+    dropped(docs.sparkSession, path)
+    slots = F.broadcast(through.select("slot").distinct())  # at most SLOTS numbers
+    rest = verified(keyed.join(slots, "slot", "left_anti"), False)
+    some = keyed.join(slots, "slot", "left_semi").join(through.drop("slot"), ROW, "left")
+    return rest.unionByName(verified(some, True))
 
 
 def secret_report(docs: DataFrame, **columns: str) -> DataFrame:
