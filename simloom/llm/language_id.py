@@ -8,13 +8,16 @@ that overlap by the widest filter, and the mean of the windows' probabilities,
 weighted by their length, is the text's.
 
 The network is fitted on a bounded sample of labelled texts (parameter
-``per_language`` texts of each language, ``windows_per_text`` windows of each);
-prediction covers every byte of every text.
+``per_language`` texts of each language on average and at most twice as many in
+all, ``windows_per_text`` windows of each); prediction covers every byte of every
+text.
 
 Results for odd input: a null text, or one without a letter, is ``und`` with
 score 0; rows with a null language are not learned from; with no labelled row
-at all every text is ``und``; repeated rows get equal results; an empty table
-gives no rows. Extra columns are left alone.
+at all every text is ``und``; of languages that tie the first by name is taken;
+repeated rows get equal results and are learned from once; a very long text is
+cut and scored in steps, as one text; an empty table gives no rows. Extra
+columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -38,8 +41,10 @@ EMBEDDING = 8
 UNKNOWN = "und"
 PER_LANGUAGE, WINDOWS_PER_TEXT = 400, 5
 EPOCHS, BATCH, RATE, MOMENTUM, SEED = 5, 64, 0.05, 0.9, 17
-#: Windows that one numpy step predicts.
-STEP = 256
+#: Windows that one numpy step predicts, and that are cut out at once.
+STEP, CUT = 256, 1 << 14
+#: How far a score must lie above chance, on the way from 1/L to 1, for a text to be kept.
+MARGIN = 1 / 15
 
 
 @dataclass
@@ -146,18 +151,25 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     return net
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of all texts, the text of each, and how many bytes it adds."""
+def cut(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of all windows of all texts, and the text of each."""
     stride = WINDOW - max(WIDTHS) + 1
     sizes = np.diff(offsets)
     counts = np.where(sizes > 0, np.maximum(1, -(-(sizes - max(WIDTHS) + 1) // stride)), 0)
     text = np.repeat(np.arange(len(sizes)), counts)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = offsets[text] + nth * stride
-    stop = np.minimum(start + WINDOW, offsets[text + 1])
+    return start, np.minimum(start + WINDOW, offsets[text + 1]), text
+
+
+def cut_out(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The bytes of windows, filled up with blanks."""
     at = start[:, None] + np.arange(WINDOW)
-    windows = np.where(at < stop[:, None], data[np.minimum(at, max(len(data) - 1, 0))], 0x20).astype(np.uint8)
-    return windows, text, stop - start
+    return np.where(at < stop[:, None], data[np.minimum(at, max(len(data) - 1, 0))], 0x20).astype(np.uint8)
+
+
+def has_letter(column: pa.Array) -> pa.Array:
+    return pc.fill_null(pc.match_substring_regex(column, r"\pL"), False)
 
 
 def predict(net: Network, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -166,13 +178,14 @@ def predict(net: Network, column: pa.Array) -> tuple[list[str], np.ndarray]:
     n = len(column)
     sums = np.zeros((n, len(net.languages)))
     if net.languages and len(data):
-        windows, text, weight = cut(data, offsets)
-        chances = net.probabilities(windows) * weight[:, None]
-        begins = np.flatnonzero(np.diff(text, prepend=-1))
-        sums[text[begins]] = np.add.reduceat(chances, begins, axis=0)
+        start, stop, text = cut(offsets)
+        for k in range(0, len(text), CUT):
+            a, b, own = start[k : k + CUT], stop[k : k + CUT], text[k : k + CUT]
+            chances = net.probabilities(cut_out(data, a, b)) * (b - a)[:, None]
+            begins = np.flatnonzero(np.diff(own, prepend=-1))
+            sums[own[begins]] += np.add.reduceat(chances, begins, axis=0)
     total = sums.sum(1)
-    letter = pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)
-    ok = letter & (total > 0)
+    ok = has_letter(column).to_numpy(zero_copy_only=False) & (total > 0)
     best = sums.argmax(1) if net.languages else np.zeros(n, int)
     score = np.where(ok, sums.max(1, initial=0) / np.where(total > 0, total, 1), 0.0)
     return [net.languages[b] if o else UNKNOWN for b, o in zip(best, ok)], np.clip(score, 0, 1)
@@ -189,8 +202,9 @@ def fold(id_col: str) -> Column:
 def sample_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, windows_per_text: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Evenly spaced windows of some labelled texts outside the held-out fold.
 
-    Texts are chosen by a hash of their id, with a chance that gives about
-    ``per_language`` of each language; the driver gets the windows alone.
+    Distinct texts are chosen by a hash of id and text, with a chance that gives
+    about ``per_language`` of each language, and at most twice as many in all; the
+    driver gets the windows alone.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         (fold("doc_id") != 2) & F.col("lang").isNotNull() & (F.length("text") > 0)
@@ -202,21 +216,22 @@ def sample_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, p
     million = 1_000_000
     chances = {r.lang: min(million, million * per_language // r.n + 1) for r in counts}
     chance = F.from_json(F.lit(json.dumps(chances)), "map<string,int>")
-    lot = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(million))
-    chosen = known.where(lot < F.element_at(chance, F.col("lang"))).select("lang", "text")
+    lot = F.xxhash64(F.lit("language"), "doc_id", "text")
+    chosen = known.where(F.pmod(lot, F.lit(million)) < F.element_at(chance, F.col("lang"))).select("lang", "text", lot.alias("lot")).distinct()
+    chosen = chosen.orderBy("lot", "lang", "text").limit(2 * len(languages) * per_language).select("lang", "text")
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            w, text, _ = cut(*text_buffer(part.column(1)))
+            data, offsets = text_buffer(part.column(1))
+            start, stop, text = cut(offsets)
             borders = np.searchsorted(text, np.arange(part.num_rows + 1))
             keep = np.unique(
                 np.concatenate([np.linspace(a, b - 1, min(windows_per_text, b - a)).astype(int) for a, b in zip(borders, borders[1:]) if b > a] or [np.zeros(0, int)])
             )
             lang = part.column(0).take(pa.array(text[keep]))
-            yield pa.RecordBatch.from_arrays([lang, pa.array([w[i].tobytes() for i in keep], pa.binary())], names=["lang", "window"])
+            yield pa.RecordBatch.from_arrays([lang, pa.array([w.tobytes() for w in cut_out(data, start[keep], stop[keep])], pa.binary())], names=["lang", "window"])
 
-    most = len(languages) * per_language * windows_per_text * 2
-    rows = sorted(chosen.mapInArrow(windows, "lang string, window binary").limit(most).collect())
+    rows = sorted(chosen.mapInArrow(windows, "lang string, window binary").collect())
     number = {x: i for i, x in enumerate(languages)}
     return (
         np.frombuffer(b"".join(bytes(r.window) for r in rows), np.uint8).reshape(-1, WINDOW),
@@ -243,18 +258,24 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, net: Network, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, net: Network, margin: float = MARGIN, text_col: str = "text") -> DataFrame:
     """The documents with a known language, as they were.
 
-    The text alone decides, so the rows never leave their order or place.
+    What has no letter goes, and what scores less than ``margin`` above chance
+    (0.3 with four languages). Where no language could be learned all texts with a
+    letter stay. The text alone decides, so the rows never leave their order or place.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = docs.schema
     at = docs.columns.index(text_col)
+    least = (1 + margin * (len(net.languages) - 1)) / max(1, len(net.languages))
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, at):
+            if not net.languages:
+                yield part.filter(has_letter(part.column(at)))
+                continue
             lang, score = predict(shared.value, part.column(at))
-            yield part.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(lang, score.tolist())], pa.bool_()))
+            yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score.tolist())], pa.bool_()))
 
     return docs.mapInArrow(keep, schema)

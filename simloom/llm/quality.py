@@ -12,9 +12,11 @@ and from nothing else.
 
 Results for odd input: a null or empty text has all features 0 and gets a score
 like any other; labels that are null are not learned from; without labels of
-both kinds the score is the share of label 1 (0.5 with none at all); repeated
-rows get equal results; an empty table gives no rows. Extra columns are left
-alone.
+both kinds the score is the share of label 1 (0.5 with none at all); an id with
+both labels is learned with both; of rows that share an id the least text is
+learned from; of cuts and pairs that tie the first is taken; repeated rows get
+equal results; a very long text has the features of the whole; an empty table
+gives no rows. Extra columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -275,7 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id", "label").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # The sample has a fixed bound, so it may be sent to every task.
-    rows = with_features(texts.join(F.broadcast(chosen), "doc_id"), "doc_id", "label").limit(2 * sample_rows).collect()
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = with_features(sample, "doc_id", "label").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.features))
     x = np.array([r.features for r in rows]).reshape(len(rows), len(FEATURES))
     return fit_model(x, np.array([r.label for r in rows], np.float64))
