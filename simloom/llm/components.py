@@ -3,7 +3,8 @@
 Large stars tie every larger neighbour of a node to its least neighbour, small
 stars every smaller one; repeated in turn they end in one star per component.
 Each round is a table in the shared folder, nothing is gathered on the driver
-but two numbers that tell whether the round changed anything.
+but two numbers that tell whether the round changed anything. A round's table is
+deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.shared import written
+from simloom.llm.shared import dropped, written
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -42,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
     stamp = _stamp(now)
     while stamp[0]:
-        now = written(_star(_star(now, True), False), "edges")
+        old, now = now, written(_star(_star(now, True), False), "edges")
+        dropped(edges.sparkSession, old)
         before, stamp = stamp, _stamp(now)
         if stamp == before:
             break

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; bounds a worker's memory.
 SLICE_BYTES = 2 << 20
@@ -46,16 +47,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.table_path = path
+    return table
 
 
-def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for df in tables:
-        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            path = hadoop.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes tables made by ``written``, or folders, that nothing reads any more."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.table_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A bit field has 8 bits for each member at least, and at most 2^26 (8 MB).
+LEAST_BITS, MOST_BITS = 20, 26
+
+
+def field_bits(count: int) -> int | None:
+    """Bits (as a power of two) of a field for so many members; None beyond the bound."""
+    bits = max(LEAST_BITS, (8 * count).bit_length())
+    return bits if bits <= MOST_BITS else None
+
+
+def bit_field(slots: DataFrame, bits: int) -> np.ndarray:
+    """A field of 2^bits bits with those of the one column of ``slots`` set."""
+    named = slots.toDF("slot").where("slot IS NOT NULL")
+    parts = named.groupBy(F.expr("slot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits"))
+    field = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts.collect():  # at most 2048 rows of 4 KB
+        field[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return field
+
+
+def in_field(field: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return ((field[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def release_memory() -> None:
