@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from simloom.llm import decontaminate, line_dedup, secret_scan, url_filter
 
@@ -200,11 +201,11 @@ def brute_hits(docs, items):
                 if tuple(w[k : k + len(win)]) == win:
                     hit |= set(range(k, k + len(win)))
                     names |= ids
-        out.append((d, len(w), len(hit), len(names), decontaminate.items_digest(names), bool(hit)))
+        out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     import random
 
     r = random.Random(9)
@@ -213,10 +214,14 @@ def test_decontamination(spark):
     items = [(i, text(r.choice([0, 1, 3, 6, 9, 10, 11, 25]) + (5 if i % 3 else 0))) for i in range(25)] + [(30, None), (31, "!!"), (2, "a B!çA dd e1 a a b b dd e1")]
     docs = [(i, ", ".join([text(30), items[i % 25][1].upper(), text(20)])) for i in range(30)] + [(40, None), (41, ""), (None, items[4][1]), (1, "x")]
     source = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n_hit int")
-    for block_words in (20, 1_000_000):
-        found = decontaminate.decontamination_report(frame(spark, docs), source, block_words=block_words).collect()
+    docs += [docs[3], (50, "x " * 60_000 + items[4][1]), *((100 + i, items[2][1]) for i in range(40))]
+    for rows, bits in ((200_000, 26), (0, 0)):  # joined by broadcast and by shuffle, with a bit field and without
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", rows)
+        monkeypatch.setattr("simloom.llm.shared.MOST_BITS", bits)
+        found = decontaminate.decontamination_report(frame(spark, docs), source).collect()
         assert sorted((tuple(x) for x in found), key=str) == brute_hits(docs, items)
-    clean = decontaminate.keep_clean(frame(spark, docs), source)
+    clean = decontaminate.keep_clean(frame(spark, docs).withColumn("row", F.lit(1)).withColumn("slot", F.lit(2)), source).drop("row", "slot")
     assert {x.doc_id for x in clean.collect()} == {d[0] for d in brute_hits(docs, items) if not d[5]}
     assert clean.columns == DOC.replace(" long", "").replace(" string", "").split(", ")
     assert decontaminate.decontamination_report(frame(spark, docs), source.limit(0)).where("contaminated").count() == 0
