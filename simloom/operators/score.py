@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simloom.config import checked_penalty
-from simloom.operators.candidates import overlap_ok
 
 PENALTY, THRESHOLD = 2.0, 0.85
 
 
-def penalised_cosine(fa: np.ndarray, fb: np.ndarray, shared_a: np.ndarray, shared_b: np.ndarray, penalty: float) -> float:
-    """From all frequencies of both blocks and those of their shared tokens."""
-    if not len(fa) or not len(fb):
-        return 0.0
+def shared_cosine(shared_a: np.ndarray, shared_b: np.ndarray, norm_a: float, norm_b: float, penalty: float) -> float:
+    """From the frequencies of shared tokens and the sums of all squared ones."""
     w2 = 1.0 / (1.0 + penalty * np.sqrt(shared_a * shared_b)) ** 2
-    a2 = (fa**2).sum() - (shared_a**2 * (1 - w2)).sum()
-    b2 = (fb**2).sum() - (shared_b**2 * (1 - w2)).sum()
+    a2 = norm_a - (shared_a**2 * (1 - w2)).sum()
+    b2 = norm_b - (shared_b**2 * (1 - w2)).sum()
     if a2 <= 0 or b2 <= 0:
         return 0.0
     return float((shared_a * shared_b * w2).sum() / np.sqrt(a2 * b2))
@@ -45,43 +40,103 @@ def relational_scores(pairs: DataFrame, terms: DataFrame, penalty: float = PENAL
     return scored.select("id_a", "id_b", F.coalesce(similarity, F.lit(0.0)).alias("similarity"))
 
 
-def with_features(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """Pairs with both blocks' features, suffixed ``_a`` and ``_b``."""
-    side = lambda s: features.select(*(F.col(c).alias("id_" + s if c == "block_id" else f"{c}_{s}") for c in features.columns))
-    return pairs.join(side("a"), "id_a").join(side("b"), "id_b")
-
-
-def overlapping(pairs: DataFrame) -> DataFrame:
-    """The overlap filter over pairs with features."""
-    c = F.col
-    return pairs.where(overlap_ok(c("head_a"), c("keys_a"), c("total_a"), c("head_b"), c("keys_b"), c("total_b")))
-
-
-def scored(pairs: DataFrame, penalty: float = PENALTY) -> DataFrame:
-    """``similarity`` of pairs with features, in numpy over Arrow batches."""
+#: Blocks of a part; the pairs between two parts are scored by one task, which gets each block once.
+PART_BLOCKS = 5000
+CARRIED = ("file", "start_line", "end_line")
+SCORED = (
+    "id_a long, id_b long, file_a string, start_line_a int, end_line_a int, file_b string, start_line_b int, end_line_b int, "
+    "ab boolean, ba boolean, similarity double"
+)
+
+
+class _Blocks:
+    """Features of the blocks that a task has, by id."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.ids = table.column("block_id").to_numpy()
+        self.order = np.argsort(self.ids, kind="stable")
+        self.sorted = self.ids[self.order]
+        self.table = table
+        self.total = table.column("total").to_numpy()
+        self.keys, self.cuts = self._lists(table, "keys")
+        self.keys = self.keys.view(np.uint64)
+        self.head, self.head_cuts = self._lists(table, "head")
+        self.head = self.head.view(np.uint64)
+        sizes = np.diff(self.cuts)
+        self.share = self._lists(table, "counts")[0] / np.repeat(self.total, sizes)
+        sums = np.concatenate([[0.0], np.cumsum(self.share**2)])
+        self.norm = np.array([(self.share[a:b] ** 2).sum() for a, b in zip(self.cuts, self.cuts[1:])]) if len(sizes) else sums[:0]
+
+    @staticmethod
+    def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = table.column(name)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks)
+        return column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        return self.order[np.searchsorted(self.sorted, ids)]
+
+    def meets(self, i: int, j: int) -> bool:
+        """Whether one of the first tokens of i occurs in j."""
+        own, keys = self.head[self.head_cuts[i] : self.head_cuts[i + 1]], self.keys[self.cuts[j] : self.cuts[j + 1]]
+        if not len(keys):
+            return False
+        at = np.searchsorted(keys, own)
+        at[at == len(keys)] = 0
+        return bool((keys[at] == own).any())
+
+    def directions(self, i: int, j: int) -> tuple[bool, bool]:
+        """The overlap test both ways: the smaller's first tokens, of equals the second's."""
+        if self.total[i] < self.total[j]:
+            ok = self.meets(i, j)
+            return ok, ok
+        ok = self.meets(j, i)
+        return ok, ok if self.total[j] < self.total[i] else self.meets(i, j)
+
+    def cosine(self, i: int, j: int, penalty: float) -> float:
+        a, b = slice(self.cuts[i], self.cuts[i + 1]), slice(self.cuts[j], self.cuts[j + 1])
+        xa, xb = self.keys[a], self.keys[b]
+        if not len(xa) or not len(xb):
+            return 0.0
+        at = np.searchsorted(xb, xa)
+        at[at == len(xb)] = 0
+        hit = xb[at] == xa
+        fa, fb = self.share[a][hit], self.share[b][at[hit]]
+        return shared_cosine(fa, fb, self.norm[i], self.norm[j], penalty)
+
+
+def score_pairs(pairs: DataFrame, features: DataFrame, penalty: float = PENALTY, overlap: bool = True) -> DataFrame:
+    """``SCORED`` rows of pairs (id_a, id_b): files, lines, which directions pass the overlap
+    test, similarity. With ``overlap`` only pairs that pass it one way at least.
+
+    Blocks are dealt into parts; the pairs between two parts meet the blocks that
+    they name in one task, so that a block in many pairs is sent once to each. Both
+    inputs should be written tables.
+    """
     checked_penalty(penalty)
-    carried = ["id_a", "id_b", "file_a", "file_b", "start_line_a", "end_line_a", "start_line_b", "end_line_b"]
-    used = pairs.select(*carried, "keys_a", "counts_a", "total_a", "keys_b", "counts_b", "total_b")
-    schema = used.select(*carried).schema.add("similarity", "double")
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(carried)
-        for batch in batches:
-            ka, ca, ta, kb, cb, tb = batch.columns[n:]
-            out = np.empty(batch.num_rows)
-            view = lambda c: (c.flatten().to_numpy(), np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy())]))
-            (va, oa), (vb, ob) = view(ka), view(kb)
-            na, nb = ca.flatten().to_numpy(), cb.flatten().to_numpy()
-            totals_a, totals_b = ta.to_numpy(), tb.to_numpy()
-            ua, ub = va.view(np.uint64), vb.view(np.uint64)
-            for i in range(batch.num_rows):
-                a, b = slice(oa[i], oa[i + 1]), slice(ob[i], ob[i + 1])
-                fa, fb = na[a] / totals_a[i], nb[b] / totals_b[i]
-                xa, xb = ua[a], ub[b]
-                at = np.searchsorted(xb, xa)
-                at[at == len(xb)] = 0
-                hit = xb[at] == xa
-                out[i] = penalised_cosine(fa, fb, fa[hit], fb[at[hit]], penalty)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out)], names=[*carried, "similarity"])
-
-    return used.mapInArrow(score, schema)
+    spark = pairs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(int((8 * cores) ** 0.5) + 1, features.count() // PART_BLOCKS)
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    keyed = pairs.select("id_a", "id_b", F.struct(part("id_a"), part("id_b")).cast("struct<a:int,b:int>").alias("g"))
+    needed = keyed.select(F.col("g").alias("h"), F.col("id_a").alias("block_id")).union(keyed.select("g", "id_b")).distinct()
+    sent = needed.join(features.select("block_id", *CARRIED, "total", "keys", "counts", "head"), "block_id")
+
+    def score(some: pa.Table, blocks: pa.Table) -> pa.Table:
+        known = _Blocks(blocks)
+        some = some.combine_chunks()
+        ids_a, ids_b = some.column("id_a").to_numpy(), some.column("id_b").to_numpy()
+        at_a, at_b = (known.places(x) if len(x) else np.zeros(0, np.int64) for x in (ids_a, ids_b))
+        ways = np.array([known.directions(i, j) for i, j in zip(at_a.tolist(), at_b.tolist())], bool).reshape(-1, 2)
+        kept = np.flatnonzero(ways.any(1) if overlap else np.ones(len(ways), bool))
+        at_a, at_b = at_a[kept], at_b[kept]
+        similarity = np.array([known.cosine(i, j, penalty) for i, j in zip(at_a.tolist(), at_b.tolist())])
+        columns = {"id_a": ids_a[kept], "id_b": ids_b[kept]}
+        for s, at in (("a", at_a), ("b", at_b)):
+            columns |= {f"{c}_{s}": known.table.column(c).take(pa.array(at)) for c in CARRIED}
+        return pa.table(columns | {"ab": ways[kept, 0], "ba": ways[kept, 1], "similarity": similarity.astype(float)})
+
+    return keyed.groupBy("g").cogroup(sent.groupBy("h")).applyInArrow(score, SCORED)

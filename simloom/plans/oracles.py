@@ -64,8 +64,8 @@ def _cascade(blocks: str, penalty: float = 2.0, overlap: bool = True, distance:
 _NEAR_DUP = _cascade(_DOCS)
 _BUCKET = "CASE WHEN {n} <= 10 THEN 0 WHEN {n} <= 25 THEN 1 WHEN {n} <= 50 THEN 2 WHEN {n} <= 100 THEN 3 WHEN {n} <= 200 THEN 4 WHEN {n} <= 500 THEN 5 ELSE 6 END"
 _COUNTS = f"""{_DOCS}, counts AS (SELECT id, len(toks)::INT AS t, len(list_distinct(toks))::INT AS d, toks FROM blocks),
-signed AS (SELECT id, t, d, {_BUCKET.format(n="t")}::INT AS cb, least(7, floor(d * 10.0 / t))::INT AS db FROM counts),
-packed AS (SELECT *, cb::BIGINT | (db::BIGINT << 5) | ((t & 65535)::BIGINT << 24) | ((d & 65535)::BIGINT << 40) AS signature FROM signed)"""
+signed AS (SELECT id, t, d, toks, {_BUCKET.format(n="t")}::INT AS cb, least(7, floor(d * 10.0 / t))::INT AS db FROM counts),
+packed AS (SELECT *, cb::BIGINT | (db::BIGINT << 5) | (('0x' || substr(md5(toks[1]), 15, 2))::BIGINT << 8) | (('0x' || substr(md5(toks[-1]), 15, 2))::BIGINT << 16) | ((t & 65535)::BIGINT << 24) | ((d & 65535)::BIGINT << 40) AS signature FROM signed)"""
 _HEX = "SELECT id AS doc_id, lower(lpad(to_hex(h), 16, '0')) AS simhash_hex FROM hashed"
 _NAMES = ", ".join(f"('{n}')" for n in NAMES)
 _CAP = "upper({x}[1:1]) || lower({x}[2:])"
@@ -120,8 +120,7 @@ SELECT a.s AS signature, any_value(a.n) AS own, sum(b.n)::BIGINT AS compatible F
     "q_size_ratio_pairs": f"WITH {_DOCS}, {_SIZES}, {_SIZE_PAIRS} SELECT {_BUCKET.format(n='t')}::INT AS bucket, sum(c)::BIGINT AS pairs FROM sized GROUP BY 1",
     "q_shared_token_pairs": f"WITH {_DOCS}, {_tf()}, {_simhash()}, {_pairs()} SELECT id_a, id_b FROM pairs",
     **{f"q_cosine_p{p}": f"{_cascade(_DOCS, p, False)} {_PAIR_OUT} WHERE similarity >= 0.85" for p in (0, 2, 5)},
-    "q_cosine_relational": f"{_cascade(_DOCS, 2.0, False, 4)} {_PAIR_OUT}",
-    "q_cosine_relational_whole": f"{_cascade(_DOCS, 2.0, False)} {_PAIR_OUT}",
+    "q_cosine_relational": f"{_cascade(_DOCS, 2.0, False)} {_PAIR_OUT}",
     "q_near_dup_pairs": f"{_NEAR_DUP} {_PAIR_OUT} WHERE similarity >= 0.85",
     "q_near_dup_cross_source": f"""{_cascade(_SOURCE)} SELECT least(file_a, file_b) AS file_a, greatest(file_a, file_b) AS file_b, round(max(similarity), 6) AS similarity
 FROM scored WHERE similarity >= 0.85 GROUP BY least(file_a, file_b), greatest(file_a, file_b)""",

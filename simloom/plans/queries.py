@@ -15,6 +15,7 @@ from simloom.operators import candidates, features, ranking, score, synonyms
 from simloom.plans import report
 from simloom.plans.scan import match_corpora, score_blocks, similar_files
 from simloom.sources.extract import extract_blocks
+from simloom.storage import read_table, written
 
 SETTINGS = Settings()
 DIGITS = 6
@@ -23,13 +24,17 @@ PATTERNS = ("**/fr/**", "https://m.*", "http://**", "*.html", "vendor/**")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def _documents(spark: SparkSession, sf_dir: str, file_col: str | None = None) -> DataFrame:
     return features.text_blocks(_table(spark, sf_dir, "documents"), "doc_id", "text", file_col)
 
 
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(features.block_features(_documents(spark, sf_dir)), "features")
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("similarity", F.round("similarity", DIGITS))
 
@@ -69,14 +74,14 @@ def q_block_signature(spark, sf_dir):
         F.col("block_id").alias("doc_id"),
         sig.count_bucket(total).alias("count_bucket"),
         sig.distinct_bucket(total, distinct).alias("distinct_bucket"),
-        sig.block_signature(total, distinct).alias("signature"),
+        sig.block_signature(total, distinct, F.col("first_token"), F.col("last_token")).alias("signature"),
     )
 
 
 def q_signature_compat(spark, sf_dir):
     """How many blocks lie within 16 of another block's packed low bits, by signature."""
     counts = features.token_counts(_documents(spark, sf_dir))
-    low = counts.select(sig.block_signature(F.col("total_tokens"), F.col("distinct_tokens")).alias("s"))
+    low = counts.select(sig.block_signature(F.col("total_tokens"), F.col("distinct_tokens"), F.col("first_token"), F.col("last_token")).alias("s"))
     sizes = low.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     part = lambda c: F.floor(F.col(c).bitwiseAND(F.lit(0xFFFF).cast("long")) / 16)
     a = sizes.select(F.col("s").alias("a"), F.col("n").alias("na")).withColumn("p", F.explode(F.array(*(part("a") + d for d in (-1, 0, 1)))))
@@ -86,8 +91,8 @@ def q_signature_compat(spark, sf_dir):
 
 
 def q_hamming_pairs(spark, sf_dir):
-    pairs = candidates.paired(features.block_features(_documents(spark, sf_dir)))
-    return pairs.select("id_a", "id_b", F.col("hd").cast("int").alias("hd"), F.round((64 - F.col("hd")) / 64.0, DIGITS).alias("est"))
+    pairs = candidates.paired(_features(spark, sf_dir))
+    return pairs.select("id_a", "id_b", "hd", F.round((64 - F.col("hd")) / 64.0, DIGITS).alias("est"))
 
 
 def q_size_ratio_pairs(spark, sf_dir):
@@ -102,32 +107,24 @@ def q_size_ratio_pairs(spark, sf_dir):
 
 
 def q_shared_token_pairs(spark, sf_dir):
-    found = features.block_features(_documents(spark, sf_dir))
-    return score.overlapping(score.with_features(candidates.paired(found), found)).select("id_a", "id_b")
+    found = _features(spark, sf_dir)
+    return score.score_pairs(written(candidates.paired(found), "pairs"), found).select("id_a", "id_b")
 
 
 def _cosine(penalty: float) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark, sf_dir):
-        found = features.block_features(_documents(spark, sf_dir))
-        pairs = score.with_features(candidates.paired(found), found)
-        return _pairs(score.scored(pairs, penalty).where(F.col("similarity") >= SETTINGS.threshold))
+        found = _features(spark, sf_dir)
+        scored = score.score_pairs(written(candidates.paired(found), "pairs"), found, penalty, overlap=False)
+        return _pairs(scored.where(F.col("similarity") >= SETTINGS.threshold))
 
     return query
 
 
 def q_cosine_relational(spark, sf_dir):
-    """The relational form of the same score, over candidates within four bits."""
-    blocks = _documents(spark, sf_dir)
-    pairs = candidates.paired(features.block_features(blocks), distance=4)
-    scored = score.relational_scores(pairs, features.term_frequencies(blocks))
-    return _pairs(scored)
-
-
-def q_cosine_relational_whole(spark, sf_dir):
-    """The relational score over all candidates of the scan."""
-    blocks = _documents(spark, sf_dir)
-    pairs = candidates.paired(features.block_features(blocks))
-    return _pairs(score.relational_scores(pairs, features.term_frequencies(blocks)))
+    """The relational form of the same score, over all candidates of the scan."""
+    pairs = written(candidates.paired(_features(spark, sf_dir)), "pairs")
+    terms = written(features.term_frequencies(_documents(spark, sf_dir)), "terms")
+    return _pairs(score.relational_scores(pairs, terms))
 
 
 def q_near_dup_pairs(spark, sf_dir):
@@ -164,13 +161,13 @@ def q_summary(spark, sf_dir):
 
 def q_filter_funnel(spark, sf_dir):
     """How many pairs each filter of the cascade leaves."""
-    found = features.block_features(_documents(spark, sf_dir))
+    found = _features(spark, sf_dir)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("pairs")).select(F.lit(name).alias("stage"), "pairs")
     every = found.agg(F.expr("count(1) * (count(1) - 1) div 2").alias("pairs")).select(F.lit("1 all").alias("stage"), "pairs")
     sized = q_size_ratio_pairs(spark, sf_dir).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).select(F.lit("2 size").alias("stage"), "pairs")
-    near = candidates.paired(found)
-    shared = score.overlapping(score.with_features(near, found))
-    similar = score.scored(shared).where(F.col("similarity") >= SETTINGS.threshold)
+    near = written(candidates.paired(found), "pairs")
+    shared = written(score.score_pairs(near, found), "scored")
+    similar = shared.where(F.col("similarity") >= SETTINGS.threshold)
     return every.unionByName(sized).unionByName(count(near, "3 simhash")).unionByName(count(shared, "4 overlap")).unionByName(count(similar, "5 similar"))
 
 

@@ -10,26 +10,38 @@ from simloom.errors import NoFilesError
 from simloom.operators import candidates, features, fuzzy, ranking, score, synonyms
 from simloom.sources import files
 from simloom.sources.extract import extract_blocks
+from simloom.storage import written
+
+
+def _pairs(left: DataFrame, right: DataFrame | None, settings: Settings, cross_file: bool = True) -> DataFrame:
+    """Candidates between written features: by signatures, or where no distance is set by tokens."""
+    if settings.simhash_max_distance is None:
+        return candidates.paired_by_tokens(left, right, settings.threshold)
+    return candidates.paired(left, right, settings.simhash_max_distance, cross_file=cross_file)
 
 
 def score_blocks(blocks: DataFrame, settings: Settings, edges: DataFrame | None = None, cross_file: bool = True) -> DataFrame:
     """All pairs of blocks that reach the threshold, with files, lines and similarity."""
-    featured = features.block_features(blocks)
-    pairs = candidates.paired(featured, distance=settings.simhash_max_distance, cross_file=cross_file)
-    scored = score.scored(score.overlapping(score.with_features(pairs, featured)), settings.frequency_penalty)
+    featured = written(features.block_features(blocks), "features")
+    pairs = written(_pairs(featured, None, settings, cross_file), "pairs")
+    scored = score.score_pairs(pairs, featured, settings.frequency_penalty)
     if settings.fuzzy_identifiers:
         edges = synonyms.small_dictionary(blocks.sparkSession) if edges is None else edges
-        scored = fuzzy.two_pass(scored, blocks, edges, settings.threshold, settings.frequency_penalty, settings.fuzzy_identifier_threshold)
-    return scored.where(F.col("similarity") >= settings.threshold)
+        scored = fuzzy.two_pass(scored, written(blocks, "blocks"), edges, settings.threshold, settings.frequency_penalty, settings.fuzzy_identifier_threshold)
+    return scored.where(F.col("similarity") >= settings.threshold).drop("ab", "ba")
 
 
 def match_corpora(left: DataFrame, right: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs across two sets of blocks, ``id_a`` from the left one."""
-    a, b = features.block_features(left), features.block_features(right)
-    pairs = candidates.paired(a, b, distance=settings.simhash_max_distance)
-    side = lambda f, s: f.select(*(F.col(c).alias("id_" + s if c == "block_id" else f"{c}_{s}") for c in f.columns))
-    both = pairs.join(side(a, "a"), "id_a").join(side(b, "b"), "id_b")
-    return score.scored(score.overlapping(both), settings.frequency_penalty).where(F.col("similarity") >= settings.threshold)
+    """Pairs across two sets of blocks, ``id_a`` from the left one; ids may occur in both."""
+    a, b = (written(features.block_features(df), "features") for df in (left, right))
+    pairs = _pairs(a, b, settings)
+    # Two sets of ids as one.
+    both = a.withColumn("block_id", F.xxhash64(F.lit(0), "block_id")).unionByName(b.withColumn("block_id", F.xxhash64(F.lit(1), "block_id")))
+    names = pairs.select("id_a", "id_b", F.xxhash64(F.lit(0), "id_a").alias("ka"), F.xxhash64(F.lit(1), "id_b").alias("kb"))
+    names = written(names, "pairs")
+    scored = score.score_pairs(names.select(F.col("ka").alias("id_a"), F.col("kb").alias("id_b")), both, settings.frequency_penalty)
+    found = scored.where(F.col("similarity") >= settings.threshold).withColumnsRenamed({"id_a": "ka", "id_b": "kb"}).drop("ab", "ba")
+    return found.join(names, ["ka", "kb"]).drop("ka", "kb")
 
 
 def similar_files(blocks: DataFrame, settings: Settings, edges: DataFrame | None = None) -> DataFrame:

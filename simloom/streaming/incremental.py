@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from simloom.config import Settings
 from simloom.operators import candidates, features, score
+from simloom.storage import written
 
 
 def match_batch(corpus: str, pairs: str, settings: Settings) -> Callable[[DataFrame, int], None]:
@@ -24,12 +25,11 @@ def match_batch(corpus: str, pairs: str, settings: Settings) -> Callable[[DataFr
         features.block_features(blocks).write.mode("overwrite").parquet(f"{corpus}/batch={batch}")
         kept = spark.read.parquet(corpus).where(F.col("batch") <= batch)
         own, before = kept.where(F.col("batch") == batch).drop("batch"), kept.where(F.col("batch") < batch).drop("batch")
-        inner = score.with_features(candidates.paired(own, distance=settings.simhash_max_distance), own)
-        cross = candidates.paired(own, before, distance=settings.simhash_max_distance)
-        side = lambda f, s: f.select(*(F.col(c).alias("id_" + s if c == "block_id" else f"{c}_{s}") for c in f.columns))
-        outer = cross.join(side(own, "a"), "id_a").join(side(before, "b"), "id_b").where("file_a <> file_b")
-        both = score.overlapping(inner.unionByName(outer))
-        found = score.scored(both, settings.frequency_penalty).where(F.col("similarity") >= settings.threshold)
+        # Every block once; ids are unique over all batches.
+        distance = settings.simhash_max_distance or candidates.MAX_DISTANCE
+        new = candidates.paired(own, distance=distance).select("id_a", "id_b").unionByName(candidates.paired(own, before, distance=distance).select("id_a", "id_b"))
+        scored = score.score_pairs(written(new, "pairs"), kept.drop("batch"), settings.frequency_penalty).drop("ab", "ba")
+        found = scored.where((F.col("similarity") >= settings.threshold) & (F.col("file_a") != F.col("file_b")))
         found.write.mode("overwrite").parquet(f"{pairs}/batch={batch}")
 
     return step

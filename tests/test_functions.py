@@ -113,8 +113,10 @@ def test_cosine(spark, edges, a, b, exact, ab, ba):
     terms, found = features.term_frequencies(blocks), features.block_features(blocks)
     for p, value in exact.items():
         assert score.relational_scores(pairs, terms, p).first().similarity == pytest.approx(value, abs=1e-6)
-        assert score.scored(score.with_features(pairs, found), p).first().similarity == pytest.approx(value, abs=1e-6)
-    assert fuzzy.fuzzy_scores(pairs, blocks, edges, 2.0).first().fuzzy == pytest.approx(max(ab, ba), abs=1e-6)
+        assert score.score_pairs(pairs, found, p).first().similarity == pytest.approx(value, abs=1e-6)
+    for ways, expected in (((True, True), max(ab, ba)), ((True, False), ab), ((False, True), ba)):
+        marked = spark.createDataFrame([(0, 1, *ways)], "id_a long, id_b long, ab boolean, ba boolean")
+        assert fuzzy.fuzzy_scores(marked, blocks, edges, 2.0).first().fuzzy == pytest.approx(expected, abs=1e-6)
 
 
 def test_fuzzy_is_directed():
@@ -134,7 +136,7 @@ def test_simhash_forms_agree(spark):
     assert (empty.simhash, empty.total, empty.first_token) == (0, 0, None)
 
 
-def test_bands_find_every_near_pair(spark):
+def test_bands_find_every_near_pair(spark, monkeypatch):
     r = np.random.default_rng(3)
     base = int(r.integers(0, 2**62))
     rows = []
@@ -144,12 +146,24 @@ def test_bands_find_every_near_pair(spark):
             h ^= 1 << int(bit)
         rows.append((i, str(i % 50), int(r.choice([10, 20, 21, 40])), h - (1 << 64) if h >> 63 else h))
     df = spark.createDataFrame(rows, "block_id long, file string, total int, simhash long")
-    found = [(x.id_a, x.id_b) for x in candidates.paired(df).collect()]
     expected = {
         (a[0], b[0]) for a in rows for b in rows
         if a[0] < b[0] and a[1] != b[1] and a[2] <= 2 * b[2] and b[2] <= 2 * a[2] and ((a[3] ^ b[3]) & (2**64 - 1)).bit_count() <= 10
     }
-    assert len(found) == len(set(found)) and set(found) == expected
+    for agreeing in (None, 1, 2, 3):
+        for part in (4096, 7):
+            monkeypatch.setattr(candidates, "PART", part)
+            found = [(x.id_a, x.id_b) for x in candidates.paired(df, agreeing=agreeing).collect()]
+            assert len(found) == len(set(found)) and set(found) == expected
+    half = [r for r in rows if r[0] % 2]
+    other = [r for r in rows if not r[0] % 2]
+    schema = "block_id long, file string, total int, simhash long"
+    found = [(x.id_a, x.id_b) for x in candidates.paired(spark.createDataFrame(half, schema), spark.createDataFrame(other, schema)).collect()]
+    close = {
+        (a[0], b[0]) for a in half for b in other
+        if a[2] <= 2 * b[2] and b[2] <= 2 * a[2] and ((a[3] ^ b[3]) & (2**64 - 1)).bit_count() <= 10
+    }
+    assert len(found) == len(set(found)) and set(found) == close
 
 
 def test_overlap_and_ratio(spark):
@@ -157,7 +171,12 @@ def test_overlap_and_ratio(spark):
     blocks = _blocks(spark, [long, "shared " + " ".join(f"v{i:02d}" for i in range(30)), "v00 v01 v02"])
     found = features.block_features(blocks)
     pairs = spark.createDataFrame([(0, 1), (1, 2)], "id_a long, id_b long")
-    assert [(r.id_a, r.id_b) for r in score.overlapping(score.with_features(pairs, found)).collect()] == [(1, 2)]
+    assert [(r.id_a, r.id_b, r.ab, r.ba) for r in score.score_pairs(pairs, found).collect()] == [(1, 2, True, True)]
+    assert score.score_pairs(pairs, found, overlap=False).count() == 2
+    # Of equal lengths the second block's first tokens count.
+    even = _blocks(spark, [long, "shared " + " ".join(f"v{i:02d}" for i in range(20))])
+    r = score.score_pairs(spark.createDataFrame([(0, 1)], "id_a long, id_b long"), features.block_features(even)).first()
+    assert (r.ab, r.ba) == (True, False)
     row = spark.range(1).select(*(candidates.size_ratio_ok(F.lit(a), F.lit(b)).alias(f"x{i}") for i, (a, b) in enumerate([(10, 20), (20, 10), (10, 21)]))).first()
     assert tuple(row) == (True, True, False)
 
