@@ -56,7 +56,7 @@ def simhash_by_columns(terms: DataFrame) -> DataFrame:
 
 FEATURES = (
     "block_id long, file string, start_line int, end_line int, total int, distinct int, first_token string, "
-    "last_token string, simhash long, keys array<long>, counts array<int>, head array<long>"
+    "last_token string, simhash long, keys array<long>, counts array<int>, places array<int>, head array<long>"
 )
 #: Leading tokens that the overlap filter looks at.
 HEAD = 20
@@ -76,7 +76,8 @@ def block_features(blocks: DataFrame) -> DataFrame:
     """All features of a block in one Arrow pass without a shuffle.
 
     ``keys`` are the sorted 64-bit hashes of the distinct tokens, ``counts``
-    their occurrences, ``head`` the hashes of the first tokens.
+    their occurrences, ``places`` where they first occur, ``head`` the hashes of
+    the first tokens.
     """
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,12 +92,13 @@ def block_features(blocks: DataFrame) -> DataFrame:
                 codes = coded.indices.to_numpy()
                 sizes = np.array([len(x) for x in column], np.int64)
                 cut = np.concatenate([[0], np.cumsum(sizes)])
-                keys, counts, heads, hashes = [], [], [], []
+                keys, counts, places, heads, hashes = [], [], [], [], []
                 for a, b in zip(cut, cut[1:]):
-                    own, n = np.unique(codes[a:b], return_counts=True)
+                    own, first, n = np.unique(codes[a:b], return_index=True, return_counts=True)
                     order = np.argsort(table[own])
                     keys.append(table[own][order])
                     counts.append(n[order])
+                    places.append(first[order])
                     heads.append(table[codes[a : min(b, a + HEAD)]])
                     ones = (signs[own] * n[:, None]).sum(0) > 0
                     hashes.append(int.from_bytes(np.packbits(ones).tobytes(), signed=True))
@@ -113,6 +115,7 @@ def block_features(blocks: DataFrame) -> DataFrame:
                         pa.array(hashes, pa.int64()),
                         _lists(join(keys, np.uint64).view(np.int64), d, pa.int64()),
                         _lists(join(counts, np.int32), d, pa.int32()),
+                        _lists(join(places, np.int32), d, pa.int32()),
                         _lists(join(heads, np.uint64).view(np.int64), [len(h) for h in heads], pa.int64()),
                     ],
                     names=[c.split()[0] for c in FEATURES.split(", ")],

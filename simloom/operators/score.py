@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,44 +52,37 @@ SCORED = (
 )
 
 
-class _Blocks:
+def list_column(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists of a column, and where each begins; a null is empty."""
+    column = table.column(name).combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.fill_null(column.value_lengths(), 0).to_numpy())])
+
+
+class Blocks:
     """Features of the blocks that a task has, by id."""
 
     def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
-        self.ids = table.column("block_id").to_numpy()
-        self.order = np.argsort(self.ids, kind="stable")
-        self.sorted = self.ids[self.order]
         self.table = table
+        ids = table.column("block_id").to_numpy()
+        self.order = np.argsort(ids, kind="stable")
+        self.sorted = ids[self.order]
         self.total = table.column("total").to_numpy()
-        self.keys, self.cuts = self._lists(table, "keys")
-        self.keys = self.keys.view(np.uint64)
-        self.head, self.head_cuts = self._lists(table, "head")
-        self.head = self.head.view(np.uint64)
-        sizes = np.diff(self.cuts)
-        self.share = self._lists(table, "counts")[0] / np.repeat(self.total, sizes)
-        sums = np.concatenate([[0.0], np.cumsum(self.share**2)])
-        self.norm = np.array([(self.share[a:b] ** 2).sum() for a, b in zip(self.cuts, self.cuts[1:])]) if len(sizes) else sums[:0]
-
-    @staticmethod
-    def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-        column = table.column(name)
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks)
-        return column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+        keys, self.cuts = list_column(table, "keys")
+        head, self.head_cuts = list_column(table, "head")
+        self.keys, self.head = keys.view(np.uint64), head.view(np.uint64)
+        self.counts = list_column(table, "counts")[0]
+        self.share = self.counts / np.repeat(self.total, np.diff(self.cuts))
+        self.norm = np.array([(self.share[a:b] ** 2).sum() for a, b in zip(self.cuts, self.cuts[1:])])
 
     def places(self, ids: np.ndarray) -> np.ndarray:
         return self.order[np.searchsorted(self.sorted, ids)]
 
+    def tokens(self, i: int) -> slice:
+        return slice(self.cuts[i], self.cuts[i + 1])
+
     def meets(self, i: int, j: int) -> bool:
         """Whether one of the first tokens of i occurs in j."""
-        own, keys = self.head[self.head_cuts[i] : self.head_cuts[i + 1]], self.keys[self.cuts[j] : self.cuts[j + 1]]
-        if not len(keys):
-            return False
-        at = np.searchsorted(keys, own)
-        at[at == len(keys)] = 0
-        return bool((keys[at] == own).any())
+        return bool(found(self.head[self.head_cuts[i] : self.head_cuts[i + 1]], self.keys[self.tokens(j)])[1].any())
 
     def directions(self, i: int, j: int) -> tuple[bool, bool]:
         """The overlap test both ways: the smaller's first tokens, of equals the second's."""
@@ -97,39 +93,48 @@ class _Blocks:
         return ok, ok if self.total[j] < self.total[i] else self.meets(i, j)
 
     def cosine(self, i: int, j: int, penalty: float) -> float:
-        a, b = slice(self.cuts[i], self.cuts[i + 1]), slice(self.cuts[j], self.cuts[j + 1])
-        xa, xb = self.keys[a], self.keys[b]
-        if not len(xa) or not len(xb):
+        a, b = self.tokens(i), self.tokens(j)
+        if a.start == a.stop or b.start == b.stop:
             return 0.0
-        at = np.searchsorted(xb, xa)
-        at[at == len(xb)] = 0
-        hit = xb[at] == xa
-        fa, fb = self.share[a][hit], self.share[b][at[hit]]
-        return shared_cosine(fa, fb, self.norm[i], self.norm[j], penalty)
+        at, hit = found(self.keys[a], self.keys[b])
+        return shared_cosine(self.share[a][hit], self.share[b][at[hit]], self.norm[i], self.norm[j], penalty)
+
+
+def found(wanted: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted values in sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted
+
+
+def meeting(pairs: DataFrame, blocks: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``meet`` of pairs (id_a, id_b, ...) and the blocks (block_id, ...) that they name.
+
+    Blocks are dealt into parts; the pairs between two parts meet their blocks in
+    one task, so that a block in many pairs is sent once to each. Both inputs should
+    be written tables.
+    """
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    parts = max(int((8 * cores) ** 0.5) + 1, blocks.count() // PART_BLOCKS)
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    keyed = pairs.withColumn("g", F.struct(part("id_a").alias("a"), part("id_b").alias("b")))
+    needed = keyed.select(F.col("g").alias("h"), F.col("id_a").alias("block_id")).union(keyed.select("g", "id_b")).distinct()
+    return keyed.groupBy("g").cogroup(needed.join(blocks, "block_id").groupBy("h")).applyInArrow(meet, schema)
 
 
 def score_pairs(pairs: DataFrame, features: DataFrame, penalty: float = PENALTY, overlap: bool = True) -> DataFrame:
     """``SCORED`` rows of pairs (id_a, id_b): files, lines, which directions pass the overlap
     test, similarity. With ``overlap`` only pairs that pass it one way at least.
-
-    Blocks are dealt into parts; the pairs between two parts meet the blocks that
-    they name in one task, so that a block in many pairs is sent once to each. Both
-    inputs should be written tables.
+    Both inputs should be written tables.
     """
     checked_penalty(penalty)
-    spark = pairs.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    parts = max(int((8 * cores) ** 0.5) + 1, features.count() // PART_BLOCKS)
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
-    keyed = pairs.select("id_a", "id_b", F.struct(part("id_a"), part("id_b")).cast("struct<a:int,b:int>").alias("g"))
-    needed = keyed.select(F.col("g").alias("h"), F.col("id_a").alias("block_id")).union(keyed.select("g", "id_b")).distinct()
-    sent = needed.join(features.select("block_id", *CARRIED, "total", "keys", "counts", "head"), "block_id")
 
     def score(some: pa.Table, blocks: pa.Table) -> pa.Table:
-        known = _Blocks(blocks)
-        some = some.combine_chunks()
+        known = Blocks(blocks)
         ids_a, ids_b = some.column("id_a").to_numpy(), some.column("id_b").to_numpy()
-        at_a, at_b = (known.places(x) if len(x) else np.zeros(0, np.int64) for x in (ids_a, ids_b))
+        at_a, at_b = known.places(ids_a), known.places(ids_b)
         ways = np.array([known.directions(i, j) for i, j in zip(at_a.tolist(), at_b.tolist())], bool).reshape(-1, 2)
         kept = np.flatnonzero(ways.any(1) if overlap else np.ones(len(ways), bool))
         at_a, at_b = at_a[kept], at_b[kept]
@@ -139,4 +144,4 @@ def score_pairs(pairs: DataFrame, features: DataFrame, penalty: float = PENALTY,
             columns |= {f"{c}_{s}": known.table.column(c).take(pa.array(at)) for c in CARRIED}
         return pa.table(columns | {"ab": ways[kept, 0], "ba": ways[kept, 1], "similarity": similarity.astype(float)})
 
-    return keyed.groupBy("g").cogroup(sent.groupBy("h")).applyInArrow(score, SCORED)
+    return meeting(pairs.select("id_a", "id_b"), features.select("block_id", *CARRIED, "total", "keys", "counts", "head"), score, SCORED)

@@ -86,7 +86,8 @@ _EDGES = f"""raw AS (
 one AS (SELECT i, k - 1 AS pos, w, lower(trim(syns[k])) AS s FROM (SELECT *, unnest(range(1, len(syns) + 1)) AS k FROM raw)),
 sides AS (SELECT i, pos, 0 AS back, w AS word, s AS synonym FROM one UNION ALL SELECT i, pos, 1, s, w FROM one),
 edges AS (SELECT word, (row_number() OVER (PARTITION BY word ORDER BY i, pos, back, synonym) - 1)::INT AS ord, synonym, 1.0::FLOAT AS weight FROM sides)"""
-_EXPAND = f"""{_EDGES}, names AS (SELECT * FROM (VALUES {_NAMES}) t(identifier)),
+_ALL_NAMES = f"{_IDENTIFIERS}, names AS (SELECT * FROM idents UNION SELECT * FROM (VALUES {_NAMES}) t(identifier))"
+_EXPANDED = f"""{_EDGES},
 words AS (SELECT identifier, p - 1 AS word_pos, ws[p] AS word FROM (SELECT identifier, ws, unnest(range(1, len(ws) + 1)) AS p FROM (SELECT identifier, {_WORDS.format(x="identifier")} AS ws FROM names))),
 hop1 AS (SELECT identifier, word_pos, w.word AS source, e.ord AS o, e.synonym AS word FROM words w JOIN edges e ON e.word = w.word),
 leads AS (SELECT identifier, word_pos, source, arg_min(word, o) AS lead_word FROM hop1 GROUP BY ALL),
@@ -97,6 +98,18 @@ writes AS (
   SELECT identifier, word_pos, 0 AS hop, 0 AS o, word, 1.0 AS score FROM words
   UNION ALL SELECT identifier, word_pos, 1, o, word, 0.9 FROM hop1 UNION ALL SELECT identifier, word_pos, 2, o, word, 0.81 FROM hop2),
 expanded AS (SELECT identifier, word, arg_max(score, word_pos * 1000000 + hop * 1000 - o)::DOUBLE AS score FROM writes GROUP BY ALL)"""
+_EXPAND = f"{_ALL_NAMES}, {_EXPANDED}"
+_ALIKE = f"""norms AS (SELECT identifier, sum(score * score) AS n2 FROM expanded GROUP BY 1),
+near AS (SELECT identifier, list(DISTINCT e.synonym) AS near FROM words w JOIN edges e ON e.word = w.word GROUP BY 1),
+sigs AS (SELECT identifier, {_SIGNATURE.format(x='identifier')} AS s, {_WORDS.format(x='identifier')} AS ws FROM names),
+dots AS (SELECT a.identifier AS id1, b.identifier AS id2, sum(a.score * b.score) AS dot FROM expanded a JOIN expanded b USING (word) WHERE a.identifier <> b.identifier GROUP BY 1, 2),
+compared AS (
+  SELECT id1, id2,
+    lower(id1) = lower(id2) OR (bit_count(xor(a.s, b.s)) <= 8 AND abs(len(a.ws) - len(b.ws)) <= 2
+      AND (list_has_any(a.ws, b.ws) OR coalesce(list_has_any(near.near, b.ws), false))) AS fast,
+    CASE WHEN bit_count(xor(a.s, b.s)) <= 12 THEN dot / sqrt(x.n2 * y.n2) ELSE 0 END AS similarity
+  FROM dots JOIN sigs a ON a.identifier = id1 JOIN sigs b ON b.identifier = id2
+  LEFT JOIN near ON near.identifier = id1 JOIN norms x ON x.identifier = id1 JOIN norms y ON y.identifier = id2)"""
 _EXTENSIONS = ", ".join(f"'{e}'" for e in (*EXTENSIONS, "html"))
 _PATH = "regexp_replace(url, '[?#].*$', '')"
 _SOURCE = _blocks("blocks", "documents", "doc_id", "source")
@@ -139,23 +152,38 @@ UNION ALL SELECT '2 size', sum(c)::BIGINT FROM sized UNION ALL SELECT '3 simhash
 UNION ALL SELECT '4 overlap', count(*) FROM pairs UNION ALL SELECT '5 similar', count(*) FROM scored WHERE similarity >= 0.85""",
     "q_ident_split": f"WITH {_IDENTIFIERS} SELECT identifier, (p - 1)::INT AS word_pos, ws[p] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM (SELECT identifier, {_WORDS.format(x='identifier')} AS ws FROM idents))",
     "q_ident_signature": f"WITH {_IDENTIFIERS} SELECT identifier, {_SIGNATURE.format(x='identifier')} AS signature FROM idents",
-    "q_word_index": f"""WITH w AS (SELECT identifier, unnest({_WORDS.format(x='identifier')}) AS word FROM (VALUES {_NAMES}) t(identifier))
+    "q_word_index": f"""WITH {_ALL_NAMES}, w AS (SELECT identifier, unnest({_WORDS.format(x='identifier')}) AS word FROM names)
 SELECT DISTINCT a.identifier, b.identifier AS candidate FROM w a JOIN w b USING (word)""",
-    "q_signature_range": f"""WITH {_IDENTIFIERS}, names AS (SELECT * FROM (VALUES {_NAMES}) t(identifier)),
-q AS (SELECT identifier, {_SIGNATURE.format(x='identifier')} AS s FROM names), c AS (SELECT identifier, {_SIGNATURE.format(x='identifier')} AS s FROM (SELECT * FROM idents UNION SELECT * FROM names))
-SELECT q.identifier AS query, c.identifier AS candidate FROM q JOIN c ON abs(q.s - c.s) <= 64 AND bit_count(xor(q.s, c.s)) <= 6""",
+    "q_signature_range": f"""WITH {_ALL_NAMES}, q AS (SELECT identifier, {_SIGNATURE.format(x='identifier')} AS s FROM names)
+SELECT q.identifier AS query, c.identifier AS candidate FROM q JOIN q c ON abs(q.s - c.s) <= 64 AND bit_count(xor(q.s, c.s)) <= 6""",
     "q_synonym_edges": f"WITH {_EDGES} SELECT * FROM edges",
     "q_ident_expand": f"WITH {_EXPAND} SELECT identifier, word, round(score, 5) AS score FROM expanded",
-    "q_ident_similarity": f"""WITH {_EXPAND}, norms AS (SELECT identifier, sum(score * score) AS n2 FROM expanded GROUP BY 1),
-near AS (SELECT identifier, list(DISTINCT e.synonym) AS near FROM words w JOIN edges e ON e.word = w.word GROUP BY 1),
-n AS (SELECT identifier, {_SIGNATURE.format(x='identifier')} AS s, {_WORDS.format(x='identifier')} AS ws FROM names),
-dots AS (SELECT a.identifier AS id1, b.identifier AS id2, sum(a.score * b.score) AS dot FROM expanded a JOIN expanded b USING (word) GROUP BY 1, 2)
-SELECT a.identifier AS id1, b.identifier AS id2,
-  lower(a.identifier) = lower(b.identifier) OR (bit_count(xor(a.s, b.s)) <= 8 AND abs(len(a.ws) - len(b.ws)) <= 2
-    AND (list_has_any(a.ws, b.ws) OR coalesce(list_has_any(near.near, b.ws), false))) AS fast,
-  round(CASE WHEN bit_count(xor(a.s, b.s)) <= 12 THEN coalesce(dot, 0) / sqrt(x.n2 * y.n2) ELSE 0 END, 5) AS similarity
-FROM n a JOIN n b ON a.identifier < b.identifier LEFT JOIN dots ON id1 = a.identifier AND id2 = b.identifier
-LEFT JOIN near ON near.identifier = a.identifier JOIN norms x ON x.identifier = a.identifier JOIN norms y ON y.identifier = b.identifier""",
+    "q_ident_similarity": f"WITH {_EXPAND}, {_ALIKE} SELECT id1, id2, fast, round(similarity, 5) AS similarity FROM compared WHERE id1 < id2",
+    "q_two_pass_fuzzy": f"""{_NEAR_DUP}, names AS (SELECT DISTINCT token AS identifier FROM tf), {_EXPANDED}, {_ALIKE},
+alike AS MATERIALIZED (SELECT * FROM compared WHERE fast AND similarity >= 0.6),
+band AS MATERIALIZED (
+  SELECT p.id_a, p.id_b, CASE WHEN a.n < b.n THEN list_has_any(a.toks[1:20], b.toks) ELSE list_has_any(b.toks[1:20], a.toks) END AS ab,
+    CASE WHEN b.n < a.n THEN list_has_any(b.toks[1:20], a.toks) ELSE list_has_any(a.toks[1:20], b.toks) END AS ba
+  FROM scored p JOIN hashed a ON a.id = id_a JOIN hashed b ON b.id = id_b WHERE similarity >= 0.425 AND similarity < 0.85),
+ways AS (SELECT id_a, id_b, id_a AS x, id_b AS y FROM band WHERE ab UNION ALL SELECT id_a, id_b, id_b, id_a FROM band WHERE ba),
+mine AS MATERIALIZED (
+  SELECT w.*, t.token, t.cnt, t.f, e.f AS same FROM ways w JOIN tf t ON t.id = x LEFT JOIN tf e ON e.id = y AND e.token = t.token),
+reach AS MATERIALIZED (SELECT x, y, token, id2, similarity FROM mine JOIN alike ON id1 = token WHERE same IS NULL),
+other AS (
+  SELECT x, y, r.token, id2, t.f AS g FROM reach r JOIN tf t ON t.id = y AND t.token = id2 JOIN blocks b ON b.id = y
+  QUALIFY row_number() OVER (PARTITION BY x, y, r.token ORDER BY similarity DESC, list_position(b.toks, id2)) = 1),
+matched AS (SELECT m.*, CASE WHEN same IS NULL THEN id2 ELSE m.token END AS u, coalesce(same, g) AS fu FROM mine m LEFT JOIN other o ON o.x = m.x AND o.y = m.y AND o.token = m.token),
+weighed AS (SELECT *, coalesce(1.0 / (1.0 + 2.0 * sqrt(f * fu)), 1.0) AS w FROM matched),
+mass AS (SELECT id, sum(cnt * f * f) AS m FROM tf GROUP BY id),
+taken AS (SELECT x, y, sum(fu * fu) AS t FROM (SELECT DISTINCT x, y, u, fu FROM weighed WHERE u IS NOT NULL) GROUP BY 1, 2),
+totals AS (
+  SELECT id_a, id_b, x, y, coalesce(sum(cnt * f * fu * w * w), 0) AS dot, sum(cnt * f * f * w * w) AS a2, coalesce(sum(cnt * fu * fu * w * w), 0) AS b2 FROM weighed GROUP BY ALL),
+fuzzy AS (
+  SELECT id_a, id_b, max(dot / sqrt(a2 * (b2 + m - coalesce(t, 0)))) AS similarity
+  FROM totals q LEFT JOIN taken k ON k.x = q.x AND k.y = q.y JOIN mass ON mass.id = q.y GROUP BY 1, 2)
+SELECT id_a, id_b, round(similarity, 6) AS similarity FROM (
+  SELECT id_a, id_b, similarity FROM scored WHERE similarity < 0.425 OR similarity >= 0.85 UNION ALL SELECT id_a, id_b, similarity FROM fuzzy)
+WHERE similarity >= 0.85""",
     "q_path_filter": f"""WITH p AS (SELECT page_id, url, {_PATH} AS path FROM pages),
 e AS (SELECT *, lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) AS extension FROM p)
 SELECT page_id, extension, extension IN ({_EXTENSIONS}) AS supported,

@@ -195,21 +195,23 @@ def q_ident_signature(spark, sf_dir):
     return _identifiers(spark, sf_dir).select("identifier", ident.bitmap_signature(F.col("identifier")).alias("signature"))
 
 
-#: A fixed list, as in the identifier checks.
+#: Names that every identifier check meets, beside those of the table.
 NAMES = ("getItem", "fetchItem", "retrieveItem", "setValue", "updateValue", "modifyValue", "calculateSum", "computeTotal", "obtainTotal", "aggregateAmount", "make_object", "createObject", "HTTPServer", "std_sum", "sumTotal", "x", "getVeryLongUserName")
 
 
-def _names(spark):
-    return spark.createDataFrame([(n,) for n in NAMES], "identifier string")
+def _names(spark, sf_dir):
+    names = spark.createDataFrame([(n,) for n in NAMES], "identifier string")
+    return _identifiers(spark, sf_dir).union(names).distinct()
 
 
 def q_word_index(spark, sf_dir):
-    names = _names(spark)
+    names = _names(spark, sf_dir)
     return synonyms.candidates_by_words(names, synonyms.word_index(names))
 
 
 def q_signature_range(spark, sf_dir):
-    return synonyms.signature_range(_names(spark), _identifiers(spark, sf_dir).union(_names(spark)).distinct(), 6)
+    names = written(_names(spark, sf_dir), "identifiers")
+    return synonyms.signature_range(names, names, 6)
 
 
 def q_synonym_edges(spark, sf_dir):
@@ -217,15 +219,16 @@ def q_synonym_edges(spark, sf_dir):
 
 
 def q_ident_expand(spark, sf_dir):
-    found = synonyms.expand(_names(spark), synonyms.small_dictionary(spark))
+    found = synonyms.expand(written(_names(spark, sf_dir), "identifiers"), written(synonyms.small_dictionary(spark), "edges"))
     return found.select("identifier", "word", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
 def q_ident_similarity(spark, sf_dir):
-    names = _names(spark)
-    pairs = names.select(F.col("identifier").alias("id1")).join(names.select(F.col("identifier").alias("id2")), F.col("id1") < F.col("id2"))
-    found = synonyms.similarity(pairs, synonyms.small_dictionary(spark))
-    return found.select("id1", "id2", "fast", F.round("similarity", 5).alias("similarity"))
+    """All identifiers that share a word of their own or a synonym, which others cannot be alike without."""
+    names, edges = written(_names(spark, sf_dir), "identifiers"), written(synonyms.small_dictionary(spark), "edges")
+    near = written(synonyms.expand(names, edges).select("identifier", "word"), "expanded")
+    pairs = near.withColumnRenamed("identifier", "id1").join(near.withColumnRenamed("identifier", "id2"), "word").where("id1 < id2").select("id1", "id2").distinct()
+    return synonyms.similarity(pairs, edges).select("id1", "id2", "fast", F.round("similarity", 5).alias("similarity"))
 
 
 def q_path_filter(spark, sf_dir):

@@ -27,7 +27,7 @@ def score_blocks(blocks: DataFrame, settings: Settings, edges: DataFrame | None
     scored = score.score_pairs(pairs, featured, settings.frequency_penalty)
     if settings.fuzzy_identifiers:
         edges = synonyms.small_dictionary(blocks.sparkSession) if edges is None else edges
-        scored = fuzzy.two_pass(scored, written(blocks, "blocks"), edges, settings.threshold, settings.frequency_penalty, settings.fuzzy_identifier_threshold)
+        scored = fuzzy.two_pass(scored, written(blocks, "blocks"), featured, edges, settings.threshold, settings.frequency_penalty, settings.fuzzy_identifier_threshold)
     return scored.where(F.col("similarity") >= settings.threshold).drop("ab", "ba")
 
 

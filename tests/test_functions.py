@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from compare import fuzzy_cosine
 from pyspark.sql import functions as F
 
 from simloom.functions import identifiers as ident
@@ -116,14 +117,14 @@ def test_cosine(spark, edges, a, b, exact, ab, ba):
         assert score.score_pairs(pairs, found, p).first().similarity == pytest.approx(value, abs=1e-6)
     for ways, expected in (((True, True), max(ab, ba)), ((True, False), ab), ((False, True), ba)):
         marked = spark.createDataFrame([(0, 1, *ways)], "id_a long, id_b long, ab boolean, ba boolean")
-        assert fuzzy.fuzzy_scores(marked, blocks, edges, 2.0).first().fuzzy == pytest.approx(expected, abs=1e-6)
+        assert fuzzy.fuzzy_scores(marked, blocks, found, edges, 2.0).first().fuzzy == pytest.approx(expected, abs=1e-6)
 
 
 def test_fuzzy_is_directed():
     a, b = "foo bar baz".split(), "foo foo bar baz".split()
-    assert fuzzy.fuzzy_cosine(a, b, {}, 2.0) == pytest.approx(0.546383, abs=1e-6)
-    assert fuzzy.fuzzy_cosine(b, a, {}, 2.0) == pytest.approx(0.944966, abs=1e-6)
-    assert fuzzy.fuzzy_cosine([], b, {}, 2.0) == 0.0
+    assert fuzzy_cosine(a, b, {}, 2.0) == pytest.approx(0.546383, abs=1e-6)
+    assert fuzzy_cosine(b, a, {}, 2.0) == pytest.approx(0.944966, abs=1e-6)
+    assert fuzzy_cosine([], b, {}, 2.0) == 0.0
 
 
 def test_simhash_forms_agree(spark):
