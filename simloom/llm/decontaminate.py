@@ -39,6 +39,8 @@ from simloom.llm.words import ALPHANUMERIC, LOWER, grams, hash_spans, word_spans
 SPAN, K = 10, 5
 #: Most rows, and bytes, of the benchmark's side of a join that are broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
+#: Bits of the field for each fingerprint: a document has many that it must keep apart.
+FIELD_EACH = 1024
 #: Row slots by which dirty documents are told from most others: at most so many numbers are broadcast.
 SLOTS = 1 << 18
 
@@ -213,7 +215,7 @@ def _hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_co
     numbered = written(numbered.withColumn("item", F.monotonically_increasing_id()), "benchmark")
     prints = written(item_prints(numbered, span, k), "benchmark-prints")
     count, text_bytes = prints.count(), numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = field_bits(count)
+    bits = field_bits(count, FIELD_EACH)
     field = None if bits is None else spark.sparkContext.broadcast(bit_field(prints.select(F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))), bits))
     short = sorted(r.words for r in prints.where(F.col("words") < span).select("words").distinct().collect())  # below the span
     text = column(text_col)

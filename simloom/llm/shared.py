@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,59 +11,24 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy step handles; bounds a worker's memory.
-SLICE_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none and runs on this machine alone (tests) a
-    temporary folder is made and set, so that later calls agree.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='simloom-')}"
-        spark.sparkContext.setCheckpointDir(root)
-        return spark.sparkContext.getCheckpointDir()
-    return root
-
+from simloom.storage import dropped, fresh_path, read_table, shared_dir, written
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["dropped", "fresh_path", "read_table", "shared_dir", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again.
-
-    Cuts lineage in a way that survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.table_path = path
-    return table
-
-
-def dropped(spark: SparkSession, *tables: DataFrame | str) -> None:
-    """Deletes tables made by ``written``, or folders, that nothing reads any more."""
-    for t in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.table_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Bytes of text that one numpy step handles; bounds a worker's memory.
+SLICE_BYTES = 2 << 20
 
 
 #: A bit field has 8 bits for each member at least, and at most 2^26 (8 MB).
 LEAST_BITS, MOST_BITS = 20, 26
 
 
-def field_bits(count: int) -> int | None:
-    """Bits (as a power of two) of a field for so many members; None beyond the bound."""
-    bits = max(LEAST_BITS, (8 * count).bit_length())
-    return bits if bits <= MOST_BITS else None
+def field_bits(count: int, each: int = 8) -> int | None:
+    """Bits (as a power of two) of a field for so many members, ``each`` for one where the bound
+    allows; None where it does not even allow 8."""
+    if (8 * count).bit_length() > MOST_BITS:
+        return None
+    return min(MOST_BITS, max(LEAST_BITS, (each * count).bit_length()))
 
 
 def bit_field(slots: DataFrame, bits: int) -> np.ndarray:
@@ -138,4 +100,4 @@ def session_partitions(spark: SparkSession) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
