@@ -8,28 +8,34 @@ bounded size. A member that fails its checksum is read again by its own offset,
 alone, a few times, before the task gives up (or, with ``on_error=keep``, gives
 the row an error and a null payload).
 
-The write is committed by a manifest, so files of failed or repeated attempts
-are never read.
+Each write is committed by a manifest of its own, so files of failed or repeated
+attempts are never read and a second write adds to the first (or, with mode
+``overwrite``, takes its place). Archive directories are read with the same
+retries as members.
 
 Results for odd input: a null text is empty and makes one row of 192 blanks; a
 null id comes back null; equal texts make equal bytes; an empty table makes a
-manifest without archives and reads as no rows. Extra columns are left alone.
+manifest without archives and reads as no rows; a folder without a manifest is an
+error; a very long text is one member, held whole by one task. Extra columns,
+whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import time
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -42,7 +48,7 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 BATCH_BYTES = 4 << 20
 ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES = 16 << 20
-MANIFEST = "manifest.json"
+MANIFEST = re.compile(r"manifest-[0-9a-f]{32}[.]json")
 
 # --- the PNG codec -------------------------------------------------------------
 
@@ -106,8 +112,8 @@ class Written(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.archive_bytes = int(options.get("archive_bytes", ARCHIVE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -144,9 +150,12 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, root = open_fs(self.path)
         system.create_dir(root, recursive=True)
+        before = manifests(system, root) if self.overwrite else []
         manifest = [a for m in messages if m is not None for a in m.archives]
-        with system.open_output_stream(f"{root}/{MANIFEST}") as f:
+        with system.open_output_stream(f"{root}/manifest-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(manifest).encode())
+        for path in before:
+            system.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         """Leaves no manifest: what was written stays unread."""
@@ -159,31 +168,49 @@ class ByteRange(InputPartition):
     stop: int
 
 
-def archive_members(system, path: str) -> list[zipfile.ZipInfo]:
-    with system.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-        return z.infolist()
+def manifests(system, root: str) -> list[str]:
+    """The manifests of a folder, in order of their names."""
+    found = system.get_file_info(fs.FileSelector(root))
+    return sorted(f.path for f in found if MANIFEST.fullmatch(f.base_name))
 
 
-def read_member(system, path: str, member: zipfile.ZipInfo, retries: int, wait_s: float) -> bytes:
-    """One member by its offset; opened and read anew after each failure."""
+def retried(read: Callable[[], bytes | list], what: str, retries: int, wait_s: float):
+    """What ``read`` gives, called anew after each failure."""
     for attempt in range(retries + 1):
         try:
-            with system.open_input_file(path) as f:
-                f.seek(member.header_offset)
-                head = f.read(30)
-                if head[:4] != b"PK\x03\x04":
-                    raise OSError("no member begins here")
-                name_size, extra_size = struct.unpack_from("<HH", head, 26)
-                f.seek(member.header_offset + 30 + name_size + extra_size)
-                body = f.read(member.compress_size)
-            if len(body) != member.compress_size or zlib.crc32(body) != member.CRC:
-                raise OSError("checksum mismatch")
-            return body
-        except OSError as e:
+            return read()
+        except (OSError, zipfile.BadZipFile) as e:
             error = e
             if attempt < retries:
                 time.sleep(wait_s * 2**attempt)
-    raise OSError(f"{path} at {member.header_offset}: {error}")
+    raise OSError(f"{what}: {error}")
+
+
+def archive_members(system, path: str, retries: int = 0, wait_s: float = 0.0) -> list[zipfile.ZipInfo]:
+    def read() -> list[zipfile.ZipInfo]:
+        with system.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+            return z.infolist()
+
+    return retried(read, path, retries, wait_s)
+
+
+def read_member(system, path: str, member: zipfile.ZipInfo, retries: int, wait_s: float) -> bytes:
+    """One member by its offset."""
+
+    def read() -> bytes:
+        with system.open_input_file(path) as f:
+            f.seek(member.header_offset)
+            head = f.read(30)
+            if head[:4] != b"PK\x03\x04":
+                raise OSError("no member begins here")
+            name_size, extra_size = struct.unpack_from("<HH", head, 26)
+            f.seek(member.header_offset + 30 + name_size + extra_size)
+            body = f.read(member.compress_size)
+        if len(body) != member.compress_size or zlib.crc32(body) != member.CRC:
+            raise OSError("checksum mismatch")
+        return body
+
+    return retried(read, f"{path} at {member.header_offset}", retries, wait_s)
 
 
 class ArchiveReader(DataSourceReader):
@@ -197,8 +224,13 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         system, root = open_fs(self.path)
-        with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-            manifest = json.loads(f.read())
+        found = manifests(system, root)
+        if not found:
+            raise FileNotFoundError(f"no manifest in {self.path}")
+        manifest = []
+        for path in found:
+            with system.open_input_stream(path) as f:
+                manifest += json.loads(f.read())
         ranges = [
             ByteRange(name, at, min(size, at + self.range_bytes))
             for name, size, _ in manifest
@@ -213,7 +245,7 @@ class ArchiveReader(DataSourceReader):
         path = f"{root}/{part.name}"
         rows: list[tuple[int | None, bytes | None, str | None]] = []
         held = 0
-        for m in archive_members(system, path):
+        for m in archive_members(system, path, self.retries, self.wait_s):
             if not part.start <= m.header_offset < part.stop:
                 continue
             body, error = None, None
@@ -253,17 +285,17 @@ class MediaArchive(DataSource):
         return ArchiveReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(dict(self.options))
+        return ArchiveWriter(dict(self.options), overwrite)
 
 
 # --- the operator ----------------------------------------------------------------
 
 
-def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options: str) -> None:
+def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "append", **options: str) -> None:
     spark = docs.sparkSession
     spark.dataSource.register(MediaArchive)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.write.format("simloom_media").mode("append").options(path=path, **options).save()
+    rows.write.format("simloom_media").mode(mode).options(path=path, **options).save()
 
 
 def read_media(spark, path: str, **options: str) -> DataFrame:

@@ -48,9 +48,26 @@ def test_media_round_trip(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-16:])
         assert (r.media_bytes, r.media_sha256) == (len(m := media.encode_png(raw)), hashlib.sha256(m).hexdigest())
+        size = len(payload) // 64
+        sums = [sum(payload[i * size : (i + 1) * size]) for i in range(64)]
+        bits = "".join(str(int(64 * s > sum(payload))) for s in sums)
+        assert r.feature == f"{len(payload) // 192}:{sum(payload) * 1000 // len(payload)}:{int(bits, 2):016x}"
     assert media.media_round_trip(frame(spark, [])).count() == 0
 
 
+def test_media_writes_add_up(spark):
+    path = fresh_path(spark, "media")
+    ids = lambda: sorted(r.doc_id for r in media.read_media(spark, path).collect())
+    part = lambda *rows: spark.createDataFrame([(i, f"text {i}") for i in rows], "doc_id long, text string")
+    media.write_media(part(1, 2), path)
+    media.write_media(part(3), path)
+    assert ids() == [1, 2, 3]
+    media.write_media(part(4), path, mode="overwrite")
+    assert ids() == [4]
+    with pytest.raises(FileNotFoundError):
+        media.ArchiveReader({"path": fresh_path(spark, "none")}).partitions()
+
+
 def test_media_ranges_and_retries(spark, monkeypatch):
     path = fresh_path(spark, "media")
     docs = spark.createDataFrame([(i, "text %d " % i * 50) for i in range(40)], "doc_id long, text string").coalesce(1)
