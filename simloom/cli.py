@@ -12,7 +12,8 @@ from simloom.config import COLORS, FILE_NAME, FORMATS, checked_threshold, load_s
 from simloom.errors import SimloomError
 from simloom.operators.synonyms import load_dictionary
 from simloom.plans.report import VERSION, write_report
-from simloom.plans.scan import scan
+from simloom.plans.scan import scan, similar_within_files
+from simloom.sources.extract import extract_blocks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fuzzy-threshold", type=float, dest="fuzzy_identifier_threshold")
     p.add_argument("--dictionary", help="synonyms for fuzzy identifiers: lines word|syn1,syn2")
     p.add_argument("--no-intra-file", action="store_false", default=None, dest="check_intra_file")
+    p.add_argument("--intra-file", action="store_true", default=None, dest="intra_file_extension", help="look for duplicates within one file too")
     p.add_argument("--color", choices=COLORS)
     p.add_argument("-q", "--quiet", action="store_true", default=None)
     p.add_argument("-v", "--verbose", action="count", default=0)
@@ -52,7 +54,9 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.master(f"local[{settings.jobs or '*'}]").config("spark.ui.enabled", "false").getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
         pairs, sources = scan(spark, settings, load_dictionary(spark, dictionary) if dictionary else None)
-        return int(write_report(pairs, sources, settings) > 0)
+        inner = settings.check_intra_file and settings.intra_file_extension
+        intra = similar_within_files(extract_blocks(sources, settings.min_block_tokens), settings) if inner else None
+        return int(write_report(pairs, sources, settings, intra=intra) > 0)
     except SimloomError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -15,8 +15,8 @@ log = logging.getLogger("simloom")
 
 ENV_PREFIX = "SIMLOOM_"
 FILE_NAME = "simloom.toml"
-#: A directory that holds one of these is a project root; the search for a file stops there.
-PROJECT_MARKERS = (".git", ".hg", ".svn", "Cargo.toml", "package.json", "go.mod", "pom.xml", "CMakeLists.txt", "composer.json")
+# What marks a project root, where the search for a file stops; extensions scanned.
+PROJECT_MARKERS = (".git", "Cargo.toml", "package.json", "pom.xml", "go.mod", "Gemfile", "pyproject.toml", "setup.py", "composer.json")
 EXTENSIONS = ("c", "cpp", "cc", "cxx", "hpp", "h", "hxx", "go", "java", "js", "mjs", "cjs", "php", "rs", "ts", "tsx")
 FORMATS = ("human", "json", "sarif")
 COLORS = ("auto", "always", "never")
@@ -43,6 +43,9 @@ check_intra_file = true
 # human, json or sarif.
 output_format = "human"
 
+# Extensions of the files that are scanned.
+extensions = ["c", "cpp", "cc", "cxx", "hpp", "h", "hxx", "go", "java", "js", "mjs", "cjs", "php", "rs", "ts", "tsx"]
+
 # Largest file in bytes.
 max_file_size = 1048576
 
@@ -55,6 +58,12 @@ frequency_penalty = 2.0
 # Match renamed identifiers through a synonym dictionary.
 fuzzy_identifiers = false
 fuzzy_identifier_threshold = 0.6
+
+# Colour of the text report: auto, always or never.
+color = "auto"
+
+# Only the findings, no head line and summary.
+quiet = false
 """
 
 

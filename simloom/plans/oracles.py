@@ -62,6 +62,16 @@ def _cascade(blocks: str, penalty: float = 2.0, overlap: bool = True, distance:
 
 
 _NEAR_DUP = _cascade(_DOCS)
+_BEST = f"""{_cascade(_blocks("blocks", "documents", "doc_id", "source"))},
+lines AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
+turned AS (
+  SELECT least(file_a, file_b) AS fa, greatest(file_a, file_b) AS fb, CASE WHEN file_a < file_b THEN id_a ELSE id_b END AS ia,
+    CASE WHEN file_a < file_b THEN id_b ELSE id_a END AS ib, similarity FROM scored WHERE similarity >= 0.85),
+best AS (
+  SELECT fa, fb, round(similarity, 6) AS similarity, la.n AS na, lb.n AS nb FROM (
+    SELECT * FROM turned QUALIFY row_number() OVER (PARTITION BY fa, fb ORDER BY round(similarity, 9) DESC, ia, ib) = 1)
+  JOIN lines la ON la.doc_id = ia JOIN lines lb ON lb.doc_id = ib)"""
+_PLACE = "{{'physicalLocation': {{'artifactLocation': {{'uri': {f}}}, 'region': {{'startLine': 1}}}}}}"
 _BUCKET = "CASE WHEN {n} <= 10 THEN 0 WHEN {n} <= 25 THEN 1 WHEN {n} <= 50 THEN 2 WHEN {n} <= 100 THEN 3 WHEN {n} <= 200 THEN 4 WHEN {n} <= 500 THEN 5 ELSE 6 END"
 _COUNTS = f"""{_DOCS}, counts AS (SELECT id, len(toks)::INT AS t, len(list_distinct(toks))::INT AS d, toks FROM blocks),
 signed AS (SELECT id, t, d, toks, {_BUCKET.format(n="t")}::INT AS cb, least(7, floor(d * 10.0 / t))::INT AS db FROM counts),
@@ -184,6 +194,11 @@ fuzzy AS (
 SELECT id_a, id_b, round(similarity, 6) AS similarity FROM (
   SELECT id_a, id_b, similarity FROM scored WHERE similarity < 0.425 OR similarity >= 0.85 UNION ALL SELECT id_a, id_b, similarity FROM fuzzy)
 WHERE similarity >= 0.85""",
+    "q_report_json": f"""{_BEST} SELECT to_json({{'file_a': fa, 'file_b': fb, 'similarity': similarity,
+  'matches': [{{'file_a_line_start': 1, 'file_a_line_end': na, 'file_b_line_start': 1, 'file_b_line_end': nb}}]}})::VARCHAR AS json FROM best""",
+    "q_report_sarif": f"""{_BEST} SELECT to_json({{'ruleId': 'code-duplication', 'level': 'warning',
+  'message': {{'text': 'Code duplication detected (' || floor(similarity * 100)::INT || '% similarity)'}},
+  'locations': [{_PLACE.format(f="fa")}, {_PLACE.format(f="fb")}]}})::VARCHAR AS json FROM best""",
     "q_path_filter": f"""WITH p AS (SELECT page_id, url, {_PATH} AS path FROM pages),
 e AS (SELECT *, lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) AS extension FROM p)
 SELECT page_id, extension, extension IN ({_EXTENSIONS}) AS supported,

@@ -264,11 +264,11 @@ def q_extract_blocks(spark, sf_dir):
 
 
 def q_report_json(spark, sf_dir):
-    return report.json_report(_rounded(_by_source(spark, sf_dir)))
+    return report.json_rows(_rounded(_by_source(spark, sf_dir)))
 
 
 def q_report_sarif(spark, sf_dir):
-    return report.sarif_report(_rounded(_by_source(spark, sf_dir)))
+    return report.sarif_rows(_rounded(_by_source(spark, sf_dir)))
 
 
 def q_report_lines(spark, sf_dir):

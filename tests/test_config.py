@@ -29,7 +29,8 @@ def test_bad_files(tmp_path, caplog):
 
 def test_search_stops_at_a_project_root(tmp_path):
     (tmp_path / FILE_NAME).write_text("threshold = 0.5\n")
-    (tmp_path / "p" / ".git").mkdir(parents=True)
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "setup.py").write_text("")
     assert load_settings(env={}, start=str(tmp_path / "p")).threshold == 0.85
 
 

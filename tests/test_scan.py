@@ -2,6 +2,7 @@ import io
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from simloom import cli
 from simloom.config import Settings
@@ -47,11 +48,19 @@ def test_scan_and_reports(spark, tree):
     pairs, sources = scan(spark, s)
     rows = pairs.collect()
     assert len(rows) == 1 and rows[0].similarity > 0.99  # the best pair of blocks: equal bodies
-    doc = json.loads(report.json_report(pairs).first().json)
+    out = io.StringIO()
+    assert report.write_report(pairs, sources, s.with_values({"output_format": "json"}), out) == 1
+    doc = json.loads(out.getvalue())
     assert doc["total_issues"] == 1 and doc["intra_file"] == []
     assert set(doc["cross_file"][0]["matches"][0]) == {"file_a_line_start", "file_a_line_end", "file_b_line_start", "file_b_line_end"}
-    sarif = json.loads(report.sarif_report(pairs).first().sarif)
-    assert sarif["version"] == "2.1.0" and len(sarif["runs"][0]["results"][0]["locations"]) == 2
+    out, inner = io.StringIO(), pairs.withColumn("file_b", F.col("file_a"))
+    assert report.write_report(pairs, sources, s.with_values({"output_format": "sarif"}), out, inner) == 2
+    sarif = json.loads(out.getvalue())
+    assert sarif["version"] == "2.1.0" and [r["ruleId"] for r in sarif["runs"][0]["results"]] == ["code-duplication", "intra-file-duplication"]
+    assert all(len(r["locations"]) == 2 for r in sarif["runs"][0]["results"])
+    out = io.StringIO()
+    assert report.write_report(pairs, sources, s.with_values({"output_format": "json"}), out, inner) == 2
+    assert set(json.loads(out.getvalue())["intra_file"][0]["pairs"][0]) == {"region_a", "region_b", "similarity"}
     out = io.StringIO()
     assert report.write_report(pairs, sources, s, out) == 1
     assert "Critical (≥95%) (1):" in out.getvalue() and "1 pair in 2 files" in out.getvalue()
