@@ -5,7 +5,7 @@ from __future__ import annotations
 from simloom.config import EXTENSIONS
 from simloom.functions.tokens import IGNORED
 from simloom.operators.synonyms import SMALL_DICTIONARY
-from simloom.plans.queries import NAMES
+from simloom.plans.queries import CODE, NAMES
 
 _IGNORED = ", ".join("'" + w + "'" for w in IGNORED)
 
@@ -130,7 +130,26 @@ _SIZE_PAIRS = """sized AS (
   SELECT a.t, CASE WHEN a.t = b.t THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS c
   FROM sizes a JOIN sizes b ON a.t <= b.t AND b.t <= 2 * a.t)"""
 
+#: What the extraction rules give for the sources of ``queries.CODE``, by reading them: functions, their
+#: bodies over five rows or more; names alone, without types, one-byte names and ignored words.
+_BLOCKS_OF_CODE = """
+  ('a/sum.c', 0, 'function', 1, 7, 'addAll values count total index index count index total values index total'),
+  ('a/sum.c', 1, 'block', 1, 7, 'total index index count index total values index total'),
+  ('b/sum.c', 0, 'function', 1, 7, 'sumAll values count total index index count index total values index total'),
+  ('b/sum.c', 1, 'block', 1, 7, 'total index index count index total values index total'),
+  ('a/sum.rs', 0, 'function', 1, 7, 'add_all values total value values total value total'),
+  ('a/sum.rs', 1, 'block', 1, 7, 'total value values total value total'),
+  ('a/Sum.java', 0, 'function', 2, 8, 'addAll values total value values total value total'),
+  ('a/Sum.java', 1, 'block', 2, 8, 'total value values total value total')"""
+_SOURCES = ", ".join("('{}', '{}')".format(f, t.replace("\n", "' || chr(10) || '")) for f, t in CODE)
+_REGION = "array_to_string(string_split({t}.text, chr(10))[{a}:{b}], chr(10))"
+
 ORACLES: dict[str, str] = {
+    "q_extract_blocks": f"SELECT * FROM (VALUES {_BLOCKS_OF_CODE}) t(file, ordinal, kind, start_line, end_line, tokens)",
+    "q_report_lines": f"""WITH src AS (SELECT * FROM (VALUES {_SOURCES}) t(file, text)),
+pairs AS (SELECT * FROM (VALUES ('a/Sum.java', 2, 8, 'a/sum.rs', 1, 7), ('a/sum.c', 1, 7, 'b/sum.c', 1, 7)) t(file_a, a1, a2, file_b, b1, b2))
+SELECT file_a, file_b, {_REGION.format(t="x", a="a1", b="a2")} AS lines_a, {_REGION.format(t="y", a="b1", b="b2")} AS lines_b
+FROM pairs JOIN src x ON x.file = file_a JOIN src y ON y.file = file_b""",
     "q_tokens": f"WITH {_COUNTS} SELECT id AS doc_id, t AS total_tokens, d AS distinct_tokens, toks[1] AS first_token, toks[-1] AS last_token FROM counts",
     "q_term_freq": f"WITH {_DOCS}, {_tf()} SELECT id AS doc_id, token, cnt, round(f, 9) AS tf FROM tf",
     "q_min_token_filter": f"WITH {_blocks('blocks', 'documents', 'doc_id', 'doc_id', 100)} SELECT id AS doc_id, len(toks)::INT AS total_tokens FROM blocks",
