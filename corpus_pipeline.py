@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet in the shared folder and read again for the next. All stages but the
 last return the columns of ``documents``.
+
+Results for odd input: a null or empty text, or one without a letter, has no
+language and goes in the first stage; where no language can be learned (no row
+with one) all texts with a letter stay. Rows with a null id stay as long as their
+text does; repeated rows count as copies, of which the near-duplicate stage keeps
+those that bear the least id. Very long texts pass every stage whole. Extra
+columns, whatever their names, go along up to the last stage. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ from pyspark.sql import functions as F
 
 from simloom.llm import bpe, decontaminate, language_id, line_dedup, ngram_join
 from simloom.llm.queries import tokenizer_file
-from simloom.llm.shared import documents, written
+from simloom.llm.shared import documents, dropped, written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +64,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = documents(spark, sf_dir)
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -144,3 +144,26 @@ def test_pipeline(spark):
         else:
             assert set(after) == set(before) and all(r.n_tokens >= 0 for r in after.values())
     assert corpus_pipeline.run(spark, DATA).count() == len(after)
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, clashing names, no language, an empty table."""
+    item = "one two three four five six seven eight nine ten eleven"
+    text = "some words that make a text long enough to be a document of its own number "
+    rows = [(i, text * 3 + "".join(chr(97 + int(c)) for c in str(i)) * 4, "en", "s", 1, 7, 8) for i in range(40)]
+    rows += [rows[3], (None, text + "nameless", "en", "s", 1, 7, 8), (50, None, "en", "s", 1, 7, 8), (51, "", None, None, None, 7, 8), (52, "12 !", "en", "s", 1, 7, 8)]
+    rows += [(53, f"quite another thing {item} at the end", "en", "s", 1, 7, 8), (54, "word " * 30_000 + "end", "en", "s", 1, 7, 8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, doc long, slot long"
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, some in (("rows", rows), ("no language", [(*r[:2], None, *r[3:]) for r in rows]), ("none", [])):
+        now = spark.createDataFrame(some, schema)
+        for stage, function in corpus_pipeline.STAGES:
+            out = function(spark, now, str(tmp_path))
+            if stage != "bpe":
+                assert out.columns == now.columns
+            now = spark.createDataFrame(out.collect(), out.schema)
+        ids = [r.doc_id for r in now.collect()]
+        if name == "none":
+            assert ids == []
+        else:
+            assert not {50, 51, 52, 53} & set(ids) and {0, 54, None} <= set(ids)
