@@ -26,7 +26,7 @@ LEAST_BITS, MOST_BITS = 20, 26
 def field_bits(count: int, each: int = 8) -> int | None:
     """Bits (as a power of two) of a field for so many members, ``each`` for one where the bound
     allows; None where it does not even allow 8."""
-    if (8 * count).bit_length() > MOST_BITS:
+    if max(LEAST_BITS, (8 * count).bit_length()) > MOST_BITS:
         return None
     return min(MOST_BITS, max(LEAST_BITS, (each * count).bit_length()))
 
