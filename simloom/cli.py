@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from simloom.config import COLORS, FILE_NAME, FORMATS, checked_threshold, load_settings, write_template
 from simloom.errors import SimloomError
-from simloom.operators.synonyms import load_dictionary
+from simloom.operators.synonyms import cached_edges, load_dictionary
 from simloom.plans.report import VERSION, write_report
 from simloom.plans.scan import scan, similar_within_files
 from simloom.sources.extract import extract_blocks
@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fuzzy-identifiers", action="store_true", default=None)
     p.add_argument("--fuzzy-threshold", type=float, dest="fuzzy_identifier_threshold")
     p.add_argument("--dictionary", help="synonyms for fuzzy identifiers: lines word|syn1,syn2")
+    p.add_argument("--dictionary-cache", help="folder for the prepared dictionary, made anew once that is younger")
     p.add_argument("--no-intra-file", action="store_false", default=None, dest="check_intra_file")
     p.add_argument("--intra-file", action="store_true", default=None, dest="intra_file_extension", help="look for duplicates within one file too")
     p.add_argument("--color", choices=COLORS)
@@ -41,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = vars(parser().parse_args(argv))
     logging.basicConfig(level=[logging.WARNING, logging.INFO, logging.DEBUG][min(2, args.pop("verbose"))], stream=sys.stderr)
-    dictionary, config = args.pop("dictionary"), args.pop("config")
+    dictionary, cache, config = args.pop("dictionary"), args.pop("dictionary_cache"), args.pop("config")
     try:
         if args.pop("generate_config"):
             write_template()
@@ -53,7 +54,10 @@ def main(argv: list[str] | None = None) -> int:
         settings = load_settings(args, config)
         spark = SparkSession.builder.master(f"local[{settings.jobs or '*'}]").config("spark.ui.enabled", "false").getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
-        pairs, sources = scan(spark, settings, load_dictionary(spark, dictionary) if dictionary else None)
+        edges = None
+        if dictionary:
+            edges = cached_edges(spark, dictionary, cache) if cache else load_dictionary(spark, dictionary)
+        pairs, sources = scan(spark, settings, edges)
         inner = settings.check_intra_file and settings.intra_file_extension
         intra = similar_within_files(extract_blocks(sources, settings.min_block_tokens), settings) if inner else None
         return int(write_report(pairs, sources, settings, intra=intra) > 0)

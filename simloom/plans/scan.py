@@ -17,7 +17,8 @@ def _pairs(left: DataFrame, right: DataFrame | None, settings: Settings, cross_f
     """Candidates between written features: by signatures, or where no distance is set by tokens."""
     if settings.simhash_max_distance is None:
         return candidates.paired_by_tokens(left, right, settings.threshold)
-    return candidates.paired(left, right, settings.simhash_max_distance, cross_file=cross_file)
+    pairs = candidates.paired(left, right, settings.simhash_max_distance, cross_file=cross_file)
+    return pairs.where(candidates.estimate_ok(F.col("hd"), settings.threshold))
 
 
 def score_blocks(blocks: DataFrame, settings: Settings, edges: DataFrame | None = None, cross_file: bool = True) -> DataFrame:
@@ -58,9 +59,17 @@ def similar_within_files(blocks: DataFrame, settings: Settings) -> DataFrame:
 
 
 def scan(spark: SparkSession, settings: Settings, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scans ``settings.paths``: the ranked pairs, and the sources (file, text)."""
-    found = files.discover(settings.paths or (".",), settings)
-    if not found:
-        raise NoFilesError("no files to scan")
+    """Scans ``settings.paths``: the ranked pairs, and the sources (file, text).
+
+    A path with a scheme (``store://folder``) is listed and filtered by Spark; others
+    are local files and folders.
+    """
+    roots = settings.paths or (".",)
+    stores = [r for r in roots if "://" in r]
+    found = files.discover([r for r in roots if r not in stores], settings)
     sources = files.read_files(spark, found)
+    for root in stores:
+        sources = sources.unionByName(files.read_folder(spark, root, settings))
+    if not found and (not stores or sources.isEmpty()):
+        raise NoFilesError("no files to scan")
     return similar_files(extract_blocks(sources, settings.min_block_tokens), settings, edges), sources

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,7 +70,7 @@ def read_folder(spark: SparkSession, folder: str, settings: Settings) -> DataFra
     """
     root = folder.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inner = F.substring_index(F.col("path"), root.removeprefix("file:").rstrip("/") + "/", -1)
+    inner = F.substring_index(F.col("path"), re.sub(r"^file:/*", "/", root).rstrip("/") + "/", -1)
     chosen = raw.where(F.col("length") <= settings.max_file_size).withColumn("file", inner)
     chosen = chosen.where(paths.supported(F.col("file"), settings.extensions) & ~paths.hidden(F.col("file")))
     chosen = chosen.where(~paths.ignored(F.col("file"), settings.ignore, settings.glob_mode))

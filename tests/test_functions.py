@@ -1,3 +1,6 @@
+import os
+import time
+
 import numpy as np
 import pytest
 from compare import fuzzy_cosine
@@ -185,3 +188,22 @@ def test_overlap_and_ratio(spark):
 def test_signature_columns(spark):
     row = spark.range(1).select(sig.count_bucket(F.lit(25)).alias("a"), sig.count_bucket(F.lit(501)).alias("b"), sig.hamming(F.lit(-1).cast("long"), F.lit(0).cast("long")).alias("c")).first()
     assert tuple(row) == (1, 6, 64)
+
+
+def test_estimate(spark):
+    row = spark.range(1).select(candidates.estimate_ok(F.lit(10), 1.0).alias("a"), candidates.estimate_ok(F.lit(45), 1.0).alias("b")).first()
+    assert tuple(row) == (True, False)
+
+
+def test_cached_dictionary(spark, tmp_path):
+    words, cache = tmp_path / "words.txt", str(tmp_path / "cache")
+    words.write_text("get|fetch\n")
+    os.utime(words, (1_000_000_000, 1_000_000_000))
+    assert synonyms.cached_edges(spark, str(words), cache).count() == 2
+    words.write_text("get|fetch,obtain\n")
+    os.utime(words, (1_000_000_000, 1_000_000_000))
+    assert synonyms.cached_edges(spark, str(words), cache).count() == 2  # not younger: kept
+    os.utime(words)
+    later = time.time() + 60
+    os.utime(words, (later, later))
+    assert synonyms.cached_edges(spark, str(words), cache).count() == 4

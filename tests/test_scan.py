@@ -65,8 +65,11 @@ def test_scan_and_reports(spark, tree):
     assert report.write_report(pairs, sources, s, out) == 1
     assert "Critical (≥95%) (1):" in out.getvalue() and "1 pair in 2 files" in out.getvalue()
     assert ranking.summary(pairs).first() == (1, 2)
-    with pytest.raises(NoFilesError):
-        scan(spark, Settings(paths=(str(tree / "b"),), extensions=("zig",)))
+    stored, _ = scan(spark, Settings(paths=(f"file://{tree}",), ignore=("vendor",)))
+    assert [(r.file_a, r.file_b) for r in stored.collect()] == [("a/one.c", "b/two.c")]
+    for path in (str(tree / "b"), f"file://{tree}/b"):
+        with pytest.raises(NoFilesError):
+            scan(spark, Settings(paths=(path,), extensions=("zig",)))
 
 
 def test_within_files(spark):
