@@ -38,7 +38,7 @@ from simloom.llm.shared import binary_column, release_memory, slices
 #: Pairs of tokens whose compatibility a task remembers, about 100 bytes each.
 PAIR_LIMIT = 200_000
 #: Bytes of text that are encoded at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 #: Letters whose class every Unicode version agrees on.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ƺƼ-ƿ"

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.shared import slices, text_buffer
+from simloom.llm.shared import release_memory, slices, text_buffer
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -277,5 +277,6 @@ def keep_identified(docs: DataFrame, net: Network, margin: float = MARGIN, text_
                 continue
             lang, score = predict(shared.value, part.column(at))
             yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score.tolist())], pa.bool_()))
+        release_memory()
 
     return docs.mapInArrow(keep, schema)

@@ -325,18 +325,26 @@ def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     """
     field = id_field(members)
     if field is not None:
-        held = docs.where(F.col("doc_id").isNull() | _maybe_in(docs.sparkSession, field, F.col("doc_id")))
+        bits = (8 * len(field)).bit_length() - 1
+        held = docs.select("text", F.when(F.col("doc_id").isNotNull(), _id_slot(bits, F.col("doc_id"))).alias("slot"))
+        field = docs.sparkSession.sparkContext.broadcast(field)
     else:
-        held = docs.where("doc_id IS NULL").unionByName(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+        named = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+        held = docs.where("doc_id IS NULL").unionByName(named).select("text", F.lit(None).cast("long").alias("slot"))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 0, SLICE):
-            found = {class_number(x): x.tobytes() for x in shingle_sets(part.column(0)) if len(x)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), binary_column(list(found.values()))], names=["cls", "shingles"])
+        for batch in batches:
+            slot = batch.column(1).fill_null(-1).to_numpy()
+            wanted = slot < 0
+            if field is not None:
+                wanted |= in_field(field.value, np.maximum(slot, 0))
+            for part in slices([batch.filter(pa.array(wanted))], 0, SLICE):
+                found = {class_number(x): x.tobytes() for x in shingle_sets(part.column(0)) if len(x)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), binary_column(list(found.values()))], names=["cls", "shingles"])
         release_memory()
 
     # A class's row may come from any of its documents; one is enough.
-    found = held.select("text").mapInArrow(sets, "cls long, shingles binary")
+    found = held.mapInArrow(sets, "cls long, shingles binary")
     return found.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
 
@@ -350,6 +358,7 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared = int((both[1:] == both[:-1]).sum())
             keep[i] = 100 * shared >= PERCENT * (len(both) - shared)
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["u", "v"])
+    release_memory()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -372,16 +381,10 @@ _FITS = f"100 * least({{a}}, {{b}}) >= {PERCENT} * greatest({{a}}, {{b}})"
 _NEED = f"greatest(1, -floor(-{PERCENT} * ({{a}} + {{b}}) / {100 + PERCENT}) + floor(-{PERCENT} * greatest({{a}}, {{b}}) / 100) + 1)"
 
 
-def apart(df: DataFrame, name: str) -> DataFrame:
-    """A table of one row for each key, written: joined back from there, a hot key's other rows can
-    be split over tasks, which adaptive execution does only where both sides are exchanged."""
-    return written(df, name)
-
-
 def ranked_lists(lists: DataFrame) -> DataFrame:
     """``lists`` (ord, token, cls, size) of two members or more, with each list's rank among
     its member's lists (shortest first) and their number."""
-    length = apart(lists.groupBy("ord", "token").agg(F.count(F.lit(1)).alias("len")).where("len > 1"), "lengths")
+    length = lists.groupBy("ord", "token").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
     own = Window.partitionBy("ord", "cls")
     ranked = lists.join(length, ["ord", "token"]).withColumn("rank", F.row_number().over(own.orderBy("len", "token")))
     return ranked.withColumn("lists", F.count(F.lit(1)).over(own)).drop("len")
@@ -405,7 +408,7 @@ def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
     by = {"best": -share, "some": -F.ceil(4 * share)}
     rank = lambda own, seed: F.min(F.struct(own.alias("own"), F.xxhash64("root", F.lit(seed)).alias("h"), "cls", "root", "size"))
     lead = lists.groupBy("ord", "token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), *(rank(own, turn).alias(name) for name, own in by.items()))
-    led = apart(lead.where("r0 <> r1").select("ord", "token", F.explode(F.array(*by)).alias("lead")), "leaders")
+    led = lead.where("r0 <> r1").select("ord", "token", F.explode(F.array(*by)).alias("lead"))
     near = lists.join(led, ["ord", "token"]).where("root <> lead.root").where(_FITS.format(a="size", b="lead.size"))
     met = near.groupBy("cls", F.col("lead.cls").alias("leader"), "ord").agg(F.count(F.lit(1)).alias("n"))
     counted = met.groupBy("cls", "leader").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("orders")).where(F.col("orders") == ORDERS)
@@ -424,7 +427,6 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
     """
     sized = lists.groupBy("ord", "token", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = sized.groupBy("ord", "token").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    largest = apart(largest, "largest")
     live = lists.join(largest, ["ord", "token"]).withColumn("band", F.expr(f"cast(floor({BANDS} * log2(size)) as int)"))
     few = live.where("root <> top").selectExpr("ord", "token", "cls as x", "root as rx", "size as nx", "lists - rank + 1 as kx")
     # The ends of a size class bound what a partner in it must share; 1 less for rounding.
@@ -495,7 +497,7 @@ def join_report(docs: DataFrame, **options) -> DataFrame:
     """A row per document: size of its set and the least id of its component."""
     members, _, roots = similar_classes(docs, **options)
     rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = apart(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")), "least-ids")
+    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
     )
