@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simloom.llm.ragged import UnitTable, take
-from simloom.llm.shared import binary_column, release_memory, slices
+from simloom.llm.shared import binary_column, map_arrow, release_memory, slices
 
 #: Pairs of tokens whose compatibility a task remembers, about 100 bytes each.
 PAIR_LIMIT = 200_000
@@ -252,7 +252,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         finally:
             c.forget()
 
-    return _columns(docs, id_col, text_col).mapInArrow(encode, "doc_id long, ids binary" + ", decoded string" * decoded)
+    return map_arrow(_columns(docs, id_col, text_col), encode, "doc_id long, ids binary" + ", decoded string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -264,7 +264,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
             texts = [c.decode(np.frombuffer(x.as_buffer() or b"", "<u4")) for x in part.column(1)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, decoded string")
+    return map_arrow(encoded.select("doc_id", "ids"), decode, "doc_id long, ids binary, decoded string")
 
 
 def bpe_report(docs: DataFrame, tokenizer: str, **columns: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simloom.llm.line_dedup import ROW, column, row_key
-from simloom.llm.shared import bit_field, field_bits, in_field, release_memory, slices, text_buffer, written
+from simloom.llm.shared import bit_field, field_bits, in_field, map_arrow, release_memory, slices, text_buffer, written
 from simloom.llm.words import ALPHANUMERIC, LOWER, grams, hash_spans, word_spans
 
 SPAN, K = 10, 5
@@ -138,7 +138,7 @@ def item_prints(items: DataFrame, span: int, k: int) -> DataFrame:
                 fixed = [pa.array(np.full(len(h), item.as_py())), pa.array(at.astype(np.int32)), pa.array(np.full(len(h), min(n, span), np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *fixed], names=["hash", "item", "there", "words"])
 
-    return items.select("item", "text").mapInArrow(prints, PRINTS)
+    return map_arrow(items.select("item", "text"), prints, PRINTS)
 
 
 SCANNED = "doc_id long, doc long, t1 long, t2 long, n_words long, text string, prints array<struct<hash: bigint, at: int>>"
@@ -220,14 +220,14 @@ def _hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_co
     short = sorted(r.words for r in prints.where(F.col("words") < span).select("words").distinct().collect())  # below the span
     text = column(text_col)
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), *row_key(column(id_col), F.coalesce(text, F.lit(""))), text.alias("text"))
-    scanned = written(rows.mapInArrow(_scanner(field, short, span, k), SCANNED), "scanned")
+    scanned = written(map_arrow(rows, _scanner(field, short, span, k), SCANNED), "scanned")
     some = scanned.where("text IS NOT NULL").dropDuplicates(ROW)
     bounded = lambda df, ok: F.broadcast(df) if ok else df
     met = some.select(*ROW, F.explode("prints").alias("p")).select(*ROW, "p.hash", "p.at").join(bounded(prints, count <= BROADCAST_ROWS), "hash")
     pairs = met.groupBy(*ROW, "item").agg(F.collect_list(F.struct("at", "there")).alias("places"))
     texts = numbered.select("item", "id", F.col("text").alias("item_text"))
     both = pairs.join(bounded(texts, text_bytes <= BROADCAST_BYTES), "item").join(some.select(*ROW, "text"), ROW)
-    runs = both.select(*ROW, "id", "text", "item_text", "places").mapInArrow(_extender(span, k), RUNS)
+    runs = map_arrow(both.select(*ROW, "id", "text", "item_text", "places"), _extender(span, k), RUNS)
     joined = runs.groupBy(*ROW).agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.collect_set(F.struct("id")).alias("ids"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 

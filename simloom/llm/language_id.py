@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.shared import release_memory, slices, text_buffer
+from simloom.llm.shared import map_arrow, release_memory, slices, text_buffer
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -231,7 +231,7 @@ def sample_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, p
             lang = part.column(0).take(pa.array(text[keep]))
             yield pa.RecordBatch.from_arrays([lang, pa.array([w.tobytes() for w in cut_out(data, start[keep], stop[keep])], pa.binary())], names=["lang", "window"])
 
-    rows = sorted(chosen.mapInArrow(windows, "lang string, window binary").collect())
+    rows = sorted(map_arrow(chosen, windows, "lang string, window binary").collect())
     number = {x: i for i, x in enumerate(languages)}
     return (
         np.frombuffer(b"".join(bytes(r.window) for r in rows), np.uint8).reshape(-1, WINDOW),
@@ -255,7 +255,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
             lang, score = predict(shared.value, part.column(2))
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, label, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, net: Network, margin: float = MARGIN, text_col: str = "text") -> DataFrame:
@@ -279,4 +279,4 @@ def keep_identified(docs: DataFrame, net: Network, margin: float = MARGIN, text_
             yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score.tolist())], pa.bool_()))
         release_memory()
 
-    return docs.mapInArrow(keep, schema)
+    return map_arrow(docs, keep, schema)

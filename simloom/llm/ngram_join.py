@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from simloom.llm.components import components
 from simloom.llm.line_dedup import column
-from simloom.llm.shared import binary_column, bit_field, dropped, field_bits, in_field, release_memory, slices, text_buffer, written
+from simloom.llm.shared import binary_column, bit_field, dropped, field_bits, in_field, map_arrow, release_memory, slices, text_buffer, written
 from simloom.llm.words import NOT_BLANK, hashed_words, mix, row_grams
 
 SHINGLE = 5
@@ -344,7 +344,7 @@ def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
         release_memory()
 
     # A class's row may come from any of its documents; one is enough.
-    found = held.mapInArrow(sets, "cls long, shingles binary")
+    found = map_arrow(held, sets, "cls long, shingles binary")
     return found.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
 
@@ -369,7 +369,7 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
     one = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y")
-    links = written(both.mapInArrow(_verify, "u long, v long"), "links")
+    links = written(map_arrow(both, _verify, "u long, v long"), "links")
     dropped(docs.sparkSession, pairs, sets)
     return links
 
@@ -450,16 +450,16 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Members (doc_id, cls, n), links between classes (u, v), roots (node, root)."""
     spark, texts = docs.sparkSession, _texts(docs, id_col, text_col)
     slots = 1 << sketch_bits
-    survey = written(texts.mapInArrow(_survey(slots), SURVEY), "survey")
+    survey = written(map_arrow(texts, _survey(slots), SURVEY), "survey")
     members = survey.where("n IS NOT NULL").select("doc_id", "cls", "n")
     firsts = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     sketch = survey.where("slot IS NOT NULL").select("slot", "count")
     levels = crowding(sketch, slots)
     shingles = sketch.agg(F.sum("count")).first()[0] or 0
     buckets = max(1, shingles * (100 - PERCENT) // 100 // bucket_postings + 1)
-    matched = texts.mapInArrow(_prefixes(levels, buckets), PACKED).groupBy("bucket").applyInArrow(_matcher(short_list), LISTED)
+    matched = map_arrow(texts, _prefixes(levels, buckets), PACKED).groupBy("bucket").applyInArrow(_matcher(short_list), LISTED)
     if levels.any():
-        matched = matched.unionByName(texts.mapInArrow(_crowded_rows(levels), LISTED))
+        matched = matched.unionByName(map_arrow(texts, _crowded_rows(levels), LISTED))
     listed = written(matched, "lists")
     lists = listed.where("kind = 1").select("ord", F.col("a").alias("token"), F.col("b").alias("cls"), F.col("n").alias("size")).distinct()
     ranked = written(ranked_lists(lists), "long-lists")

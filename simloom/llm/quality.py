@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from simloom.llm.shared import slices, text_buffer
+from simloom.llm.shared import map_arrow, slices, text_buffer
 from simloom.llm.words import NOT_BLANK, hash_spans, word_spans
 
 FEATURES = (
@@ -264,7 +264,7 @@ def with_features(docs: DataFrame, *kept: str) -> DataFrame:
             values = pa.array(list(text_features(part.column(0))), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*part.columns[1:], values], names=[*kept, "features"])
 
-    return rows.mapInArrow(features, schema)
+    return map_arrow(rows, features, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
@@ -294,4 +294,4 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
             s = shared.value.scores(text_features(part.column(2)))
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(apply, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(rows, apply, "doc_id long, held_out boolean, score double, predicted int")

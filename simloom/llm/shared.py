@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from simloom.storage import dropped, fresh_path, read_table, shared_dir, written
 
@@ -19,6 +20,20 @@ __all__ = ["dropped", "fresh_path", "read_table", "shared_dir", "written"]
 SLICE_BYTES = 2 << 20
 
 
+#: Bytes of an Arrow batch sent to a Python worker. Spark's own bound is 64 MB, which each task
+#: would hold several times: in the JVM, on the way and in the worker.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow``, with the session's bound of a batch set where it names none."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, None) is None:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 #: A bit field has 8 bits for each member at least, and at most 2^26 (8 MB).
 LEAST_BITS, MOST_BITS = 20, 26
 

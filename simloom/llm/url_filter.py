@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simloom.llm.shared import map_arrow
+
 #: (verdict, rule); a rule is ``host/path``.
 CONTRACT_RULES = (
     ("allow", "com/"),
@@ -203,4 +205,4 @@ def judge_urls(
                     names=["page_id", "host", "path", "rule", "verdict"],
                 )
 
-    return parts.mapInArrow(judge, f"page_id {id_type}, host string, path string, rule string, verdict string")
+    return map_arrow(parts, judge, f"page_id {id_type}, host string, path string, rule string, verdict string")
