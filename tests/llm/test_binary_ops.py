@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from simloom.llm import bpe, media, token_ids
-from simloom.llm.shared import fresh_path, open_fs
+from simloom.llm.shared import BATCH_BYTES, fresh_path, map_arrow, open_fs
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 TEXTS = [
@@ -160,3 +160,28 @@ def test_trie_against_merges():
     v = bpe.codec(BYTE).v
     words = sorted({w.encode() for w in "thanking thanked thanks theatre thé ' 123 unthankfulness aaaaaaa  \n\n".split(" ")} - {b""})
     assert bpe.TrieEncoder(v).encode_sorted(words) == [v.merge(w) for w in words]
+
+
+def test_batches_are_bound_by_bytes(spark):
+    """The bound holds where the session names none, and a session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key, None)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    texts = spark.range(0, 9000, 1, 1).selectExpr("id", "repeat('x', 2000) AS text")
+    try:
+        spark.conf.unset(key)
+        found = map_arrow(texts, sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in found) == 9000
+        assert max(r["bytes"] for r in found) < BATCH_BYTES + 10_000
+        spark.conf.set(key, "1m")
+        found = map_arrow(texts, sizes, "rows long, bytes long").collect()
+        assert max(r["bytes"] for r in found) < (1 << 20) + 10_000
+        assert map_arrow(texts.limit(0), sizes, "rows long, bytes long").count() == 0
+    finally:
+        spark.conf.unset(key)
+        if own is not None:
+            spark.conf.set(key, own)
