@@ -7,11 +7,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simloom.functions import signatures as sig
 from simloom.functions.tokens import text_tokens
+from simloom.storage import written
 
 BLOCK = "block_id long, file string, start_line int, end_line int, tokens array<string>"
 
@@ -39,15 +41,46 @@ def token_counts(blocks: DataFrame) -> DataFrame:
     )
 
 
-def term_frequencies(blocks: DataFrame) -> DataFrame:
-    """A row per block and token: count and share of the block's occurrences."""
-    rows = blocks.select("block_id", F.size("tokens").alias("total"), F.explode("tokens").alias("token"))
-    counted = rows.groupBy("block_id", "token").agg(F.count(F.lit(1)).alias("cnt"), F.first("total").alias("total"))
-    return counted.select("block_id", "token", "cnt", (F.col("cnt") / F.col("total")).alias("tf"))
+TERMS = "block_id long, token string, cnt long, total int"
+
+
+def term_frequencies(blocks: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """A row per block and token: count and share of the block's occurrences.
+
+    Tokens are counted where their block is read, so nothing but ids is shuffled. Only blocks whose
+    id occurs again are put together by an aggregate. ``ids`` (block_id) may name a table cheaper to
+    read that has all ids of the blocks.
+    """
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                column = batch.column(1)
+                coded = column.flatten().dictionary_encode()
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                words = max(1, len(coded.dictionary))
+                own, n = np.unique(row * words + coded.indices.to_numpy(), return_counts=True)
+                rows = pa.array(own // words)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), coded.dictionary.take(pa.array(own % words)), pa.array(n), pa.array(sizes[own // words].astype(np.int32))],
+                    names=[c.split()[0] for c in TERMS.split(", ")],
+                )
+
+    rows = blocks.select("block_id", "tokens").mapInArrow(counted, TERMS)
+    tf = (F.col("cnt") / F.col("total")).alias("tf")
+    ids = blocks if ids is None else ids
+    again = written(ids.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block_id"), "repeated")
+    if again.isEmpty():
+        return rows.select("block_id", "token", "cnt", tf)
+    same = rows["block_id"].eqNullSafe(again["block_id"])
+    summed = rows.join(again, same, "left_semi").groupBy("block_id", "token").agg(F.sum("cnt").alias("cnt"), F.first("total").alias("total"))
+    return rows.join(again, same, "left_anti").unionByName(summed).select("block_id", "token", "cnt", tf)
 
 
 def simhash_by_columns(terms: DataFrame) -> DataFrame:
-    """SimHash from a term table with columns alone (one shuffle by block)."""
+    """SimHash from a term table with columns alone; the sums are combined before the one shuffle by block."""
     hashed = terms.withColumn("h", sig.hash64(F.col("token")))
     sums = [sig.bit_sum(F.col("h"), F.col("cnt"), i).alias(f"s{i}") for i in range(sig.BITS)]
     summed = hashed.groupBy("block_id").agg(*sums)
